@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate
+from tidemark.llm import bpe, decontaminate, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op8_byte_bpe)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.shared_folder(spark, "/tmp/tidemark")
+    manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return token_files.read_tokens(manifest).drop("tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op8_byte_bpe, op9_token_files)}
 
 SQL: dict[str, str] = {}
