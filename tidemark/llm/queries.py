@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, token_files, topk
+from tidemark.llm import bpe, decontaminate, html_text, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -36,7 +40,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).drop("tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op4_exact_top_k, op8_byte_bpe, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_token_counts, op4_exact_top_k, op6_html_text, op8_byte_bpe, op9_token_files)}
 
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
