@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html_text, line_templates, token_files, topk
+from tidemark.llm import bpe, decontaminate, html_text, line_templates, neardup, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))[0].select("doc_id", "class_id", "n_links")
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).drop("tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op6_html_text, op8_byte_bpe, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op8_byte_bpe, op9_token_files)}
 
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
