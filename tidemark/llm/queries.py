@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html_text, line_templates, neardup, token_files, topk
+from tidemark.llm import bpe, decontaminate, html_text, line_templates, neardup, quality, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest).drop("tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op8_byte_bpe, op9_token_files)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.scored(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score", "keep")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op8_byte_bpe, op9_token_files, op10_quality)}
 
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
