@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, html_text, line_templates, neardup, quality, token_files, topk
+from tidemark.llm import bpe, decontaminate, html_text, line_templates, neardup, quality, substrings, token_files, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -55,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, _table(spark, sf_dir, "labels")).select("doc_id", "score", "keep")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op8_byte_bpe, op9_token_files, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op7_substring_dedup, op8_byte_bpe, op9_token_files, op10_quality)}
 
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
