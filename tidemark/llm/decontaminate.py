@@ -156,6 +156,23 @@ def contamination(
     return docs.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def flagged(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", benchmark_text_col: str = "text", window: int = 8, k: int = 4, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents` with all their columns, and contaminated: whether windows of `min_items` items occur."""
+    blocks = _blocks(benchmark, item_col, benchmark_text_col, window, k, block_bytes)
+    docs = documents.drop("contaminated")
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, _, _, items, *_ in _scan(batch.column(at), blocks):
+                flags = pa.array([len(x) >= min_items for x in items])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns, flags], [*names, "contaminated"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, schema + ", contaminated boolean")
+
+
 def items_digest(items: str = "items"):
     """sha256 of the item ids, sorted as strings and joined by commas."""
     return F.sha2(F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ","), 256)

@@ -27,15 +27,19 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import _held
+from tidemark.llm.bpe import _held, byte_letters
 
 # Fixed values of the seekable format.
 SKIPPABLE = 0x184D2A50
 SEEK_TABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 
-CACHE = 300_000
+CACHE = 1_000_000
 ROWS_PER_FILE = 10_000
+_STOP = re.compile(r"[a-z0-9À-ÖØ-öø-ÿ][.,]\Z")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+MARK = "\x01"
 #: Characters that str.split() takes for white space and the vocabularies' normaliser doesn't.
 _ODD = re.compile("[\x1c-\x1f]")
 _GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -43,32 +47,78 @@ _GAP = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 class Encoder:
     """The tokenizers library, asked once for each distinct run of non-space. Right for vocabularies that drop white
-    space between pre-tokens and whose special strings hold none (checked when the file is read)."""
+    space between pre-tokens, take A-Z as a-z and have no special string with white space; checked when the file is
+    read, else whole texts go to the library."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a b", "a", "b", " a\n\t b ")]
-        special = self.tokenizer.get_added_tokens_decoder().values()
-        self.by_words = probe[0] == probe[1] + probe[2] == probe[3] and not any(_GAP.search(t.content) for t in special)
+        probe = [self.whole(t) for t in ("a b,", "A", "b ,", " a\n\t b ,")]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.whole(MARK)
+        fine = len(self.mark) == 1 and self.whole(f"a {MARK} b {MARK}") == [*probe[1], *self.mark, *self.whole("b"), *self.mark]
+        self.by_words = fine and probe[0] == probe[1] + probe[2] == probe[3] and not any(_GAP.search(t) for t in special)
+        #: What all special strings hold; a text with it isn't lower-cased, nor its words put together.
+        self.special = os.path.commonprefix(special) if special else MARK
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = {b: c for b, c in enumerate(byte_letters()) if b > 127}
+        self.by_letters = self.by_words and all(self.whole(w) == [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in ("a", "straßen", "zzyxça", "éèÿþ"))
+        self.stops = {c: np.array(self.whole(c), "<u4").tobytes() for c in ".,"}
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def words(self, text: str) -> list[str]:
+        """Runs of non-space that are encoded by themselves; fewer differ if A-Z are lower-cased."""
+        if not self.special or self.special not in text:
+            text = text.encode().translate(_LOWER).decode()
+        return [w for w in _GAP.split(text) if w] if _ODD.search(text) else text.split()
+
+    def learn(self, new: list[str]) -> None:
+        """Many words in one call, each followed by a word that is one id and occurs nowhere else."""
+        plain = [w for w in new if MARK not in w and (not self.special or self.special not in w)]
+        for w in set(new).difference(plain):
+            self.known[w] = np.array(self.whole(w), "<u4").tobytes()
+        # a comma or full stop after a letter is a pre-token of its own at the end of a word
+        ends = [w for w in plain if _STOP.search(w)]
+        plain = {w for w in {w[:-1] for w in ends}.union(set(plain).difference(ends)) if w not in self.known}
+        if self.by_letters:  # a word of letters that the normaliser leaves alone is one pre-token: the model itself takes it
+            model, known, put = self.tokenizer.model.tokenize, self.known, struct.Struct
+            for w in filter(_LETTERS.fullmatch, plain):
+                ids = [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
+                known[w] = put(f"<{len(ids)}I").pack(*ids)
+        plain = [w for w in plain if w not in self.known]
+        step = 256
+        for i in range(0, len(plain), step * 64):
+            groups = [plain[j : j + step] for j in range(i, min(i + step * 64, len(plain)), step)]
+            texts = [f" {MARK} ".join(g) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cut = np.flatnonzero(ids == self.mark[0]).tolist()
+                raw = ids.tobytes()
+                if len(cut) != len(g) - 1:
+                    raise ValueError("words and ids don't match")
+                for w, x, y in zip(g, [0, *(c + 1 for c in cut)], [*cut, len(ids)]):
+                    self.known[w] = raw[4 * x : 4 * y]
+        for w in ends:
+            self.known[w] = self.known[w[:-1]] + self.stops[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_words:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        words = [[w for w in _GAP.split(t) if w] if _ODD.search(t) else t.split() for t in (x or "" for x in texts)]
+        words = [self.words(t or "") for t in texts]
         distinct = set().union(*words)
         new = distinct.difference(self.known)
-        if len(new) + len(self.known) > CACHE:
-            self.known, new = {}, distinct
-        if new:
-            new = list(new)
-            for i in range(0, len(new), 4096):
-                for w, e in zip(new[i : i + 4096], self.tokenizer.encode_batch_fast(new[i : i + 4096], add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(new) + len(self.known) > CACHE // 2:  # words of the last two generations are known
+            self.known, self.older, new = {}, self.known, distinct
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        if new := new.difference(self.known):
+            self.learn(list(new))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
