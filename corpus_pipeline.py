@@ -1,15 +1,71 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns what its decisions leave. All but the last return the columns of
+documents. run() writes every stage's result as Parquet in the shared folder and reads it again as the next one's docs.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, line_templates, neardup, quality
+from tidemark.llm.graph import with_ids
+from tidemark.llm.token_files import shared_folder
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go; every document stays, n_chars follows its text."""
+    out = line_templates.drop_recurring(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of copies and near copies the document with the smallest id stays; rows without an id stay."""
+    classes = neardup.near_duplicates(docs)[0]
+    return with_ids(docs, classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any benchmark item go."""
+    docs = docs.select(*COLUMNS)
+    found = decontaminate.flagged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), min_items=1)
+    return found.where("not contaminated").select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, their number, and whether decoding them gives the text back."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, path, keep=["text", "lang", "source"]).select(
+        "doc_id", "lang", "source", "n_tokens", "ids_sha256", (F.col("decoded_sha256") == F.sha2(F.coalesce("text", F.lit("")), 256)).alias("round_trip")
+    )
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+#: No stage before the last can be said in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark, '/tmp/tidemark')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs
