@@ -13,6 +13,7 @@ come back to the texts: as a broadcast table while there are at most `broadcast_
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.token_files import shared_folder
+
 MIN_DOCS = 10
 DEPTH = 3
 CONSTANT = 0.6  # least share of a template's tokens that are not variable fields
@@ -30,8 +33,8 @@ _FIELD = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
 
 
-def parse(line: str, depth: int = DEPTH) -> tuple[int, str] | None:
-    """(leaf, line with <*> for tokens that hold a digit, tokens apart by one space); None for a blank line."""
+def parse(line: str, depth: int = DEPTH) -> tuple[int, int, str] | None:
+    """(leaf, hash, line with <*> for tokens that hold a digit, tokens apart by one space); None for a blank line."""
     tokens = line.split()
     if not tokens:
         return None
@@ -39,51 +42,72 @@ def parse(line: str, depth: int = DEPTH) -> tuple[int, str] | None:
     if _DIGIT.search(masked):
         masked = _FIELD.sub("<*>", masked)
     leaf = f"{len(tokens)} " + " ".join(masked.split(" ", depth)[:depth])
-    return _hash(leaf), masked
+    return _hash(leaf), _hash(masked), masked
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """id, leaf, line: each masked line once for each row."""
+def _lines(docs: DataFrame, depth: int, leaves=None, texts: bool = False) -> DataFrame:
+    """id, leaf, line (hash), and with `texts` the masked line: each line once for each row. `leaves`: a broadcast set of
+    the leaves that are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = leaves.value if leaves else None
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                ids, out = part.column(0).to_pylist(), []
-                for doc, text in zip(ids, part.column(1).to_pylist()):
-                    out += [(doc, *x) for x in {parse(line, depth) for line in (text or "").split("\n")} if x]
-                a, b, c = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, part.column(0).type), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["id", "leaf", "line"])
+                out = []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    found = {x[1]: x for line in (text or "").split("\n") if (x := parse(line, depth)) and (wanted is None or x[0] in wanted)}
+                    out += [(doc, *x) for x in found.values()]
+                columns = list(zip(*out)) or [()] * 4
+                kinds = [part.column(0).type, pa.int64(), pa.int64(), pa.string()]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays[: 3 + texts], ["id", "leaf", "line", "text"][: 3 + texts])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, leaf long, line string")
+    return docs.mapInArrow(run, f"id {kind}, leaf long, line long" + ", text string" * texts)
 
 
-def recurring(docs: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT) -> DataFrame:
-    """line (masked), template, first (smallest id of its documents), n_docs: every line of every recurring template."""
-    lines = _lines(docs.where("id is not null"), depth)
-    # repeated ids are one document here
-    pairs = lines.distinct()
-    known = pairs.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first"))
-    known = known.checkpoint()  # small, and used three times
-    frequent = known.where(F.col("n_docs") >= min_docs).select("line", F.col("line").alias("template"), "first", "n_docs")
+def recurring(
+    docs: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, broadcast_rows: int = BROADCAST_ROWS, folder: str | None = None,
+) -> DataFrame:
+    """line (hash of the masked line), template, first (smallest id), n_docs: every line of every recurring template."""
+    spark = docs.sparkSession
+    base = f"{folder or shared_folder(spark, '/tmp/tidemark')}/lines-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    docs = docs.where("id is not null")
+    known = written(_lines(docs, depth).groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")), "known")
+    frequent = known.where(F.col("n_docs") >= min_docs).select("line", F.col("line").cast("string").alias("template"), "first", "n_docs")
+    # of the other lines, only those in leaves that enough documents reach are looked at again
     rare = known.where(F.col("n_docs") < min_docs)
     leaves = rare.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    # in leaves that enough documents reach: which tokens are constant at their place
-    near = rare.join(leaves, "leaf").select("leaf", "line", "n_docs", F.posexplode(F.split("line", " ")).alias("place", "token"))
-    tokens = near.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != "<*>"))
-    kept = near.join(tokens.select("leaf", "place", "token"), ["leaf", "place", "token"])
+    if leaves.count() <= broadcast_rows:
+        table = spark.sparkContext.broadcast({r["leaf"] for r in leaves.collect()})
+        texts = _lines(docs, depth, table, True)
+    else:
+        texts = _lines(docs, depth, None, True).join(leaves, "leaf")
+    texts = written(texts.join(rare.select("leaf", "line"), ["leaf", "line"], "left_semi") if leaves.count() > broadcast_rows else texts, "texts")
+    near = texts.groupBy("leaf", "line").agg(F.first("text").alias("text"), F.count("*").alias("n_docs")).where(F.col("n_docs") < min_docs)
+    cells = near.select("leaf", "line", "n_docs", F.posexplode(F.split("text", " ")).alias("place", "token"))
+    # which tokens are constant at their place
+    tokens = cells.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != "<*>"))
+    kept = cells.join(tokens.select("leaf", "place", "token"), ["leaf", "place", "token"])
     shapes = (
         kept.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("shape"))
-        .where(F.size("shape") >= constant * F.size(F.split("line", " ")))
-        .select("leaf", "line", F.concat_ws(" ", "leaf", F.concat_ws(" ", F.transform("shape", lambda x: F.concat_ws(":", x["place"].cast("string"), x["token"])))).alias("template"))
+        .join(near.select("leaf", "line", F.size(F.split("text", " ")).alias("size")), ["leaf", "line"])
+        .where(F.size("shape") >= constant * F.col("size"))
+        .select("leaf", "line", F.concat_ws(" ", F.col("leaf").cast("string"), F.concat_ws(" ", F.transform("shape", lambda x: F.concat_ws(":", x["place"].cast("string"), x["token"])))).alias("template"))
     )
+    shapes = written(shapes, "shapes")
     # how many documents, exactly: none of these lines has min_docs of its own, so no key here is large before it is summed
-    members = pairs.join(shapes, ["leaf", "line"]).select("template", "id").distinct()
+    members = texts.select("id", "leaf", "line").join(shapes, ["leaf", "line"]).select("template", "id").distinct()
     counts = members.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") >= min_docs)
     return frequent.unionByName(shapes.select("line", "template").join(counts, "template").select("line", "template", "first", "n_docs"))
 
@@ -95,12 +119,12 @@ def drop_recurring(
     """The rows of `documents` with the lines of recurring templates dropped, and n_lines and n_dropped.
 
     Every row stays, with all its columns (any of its own of those two names are replaced). Blank lines stay. A null
-    text stays null, with no lines. Rows with a null id keep their text and count for nothing. Rows of one id count as
-    one document and all keep the template's line if the id is the smallest.
+    text stays null, with no lines. Rows with a null id keep their text and count for nothing. Rows of one id
+    count as so many documents, and all keep a template's line if the id is the smallest.
     """
     docs = documents.drop("n_lines", "n_dropped")
     light = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = recurring(light, min_docs=min_docs, depth=depth, constant=constant).select("line", "first").checkpoint()
+    found = recurring(light, min_docs=min_docs, depth=depth, constant=constant, broadcast_rows=broadcast_rows).select("line", "first").checkpoint()
     names = docs.columns
     at = names.index(id_col), names.index(text_col)
 
@@ -126,13 +150,13 @@ def drop_recurring(
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long"
     if found.count() <= broadcast_rows:
         rows = found.select("line", "first").toPandas()
-        table = docs.sparkSession.sparkContext.broadcast({_hash(a): int(b) for a, b in zip(rows["line"], rows["first"])})
+        table = docs.sparkSession.sparkContext.broadcast({int(a): int(b) for a, b in zip(rows["line"], rows["first"])})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             get = table.value.get
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
-                    yield clean(batch.slice(i, 512), lambda _, line: get(_hash(line)))
+                    yield clean(batch.slice(i, 512), lambda _, line: get(line))
 
         return docs.mapInArrow(run, schema)
 
