@@ -1,0 +1 @@
+"""Where series come from."""
