@@ -194,6 +194,52 @@ def _matched(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("id", "anchor", "content", "words").mapInArrow(run, "id long, content long, starts array<int>")
 
 
+def _hot_windows(spans: DataFrame, broadcast_rows: int) -> DataFrame:
+    """(id, content, starts) of windows that a smaller document holds, by hash. Tasks sum their windows before any is
+    shuffled; the shared ones come back as a broadcast table up to `broadcast_rows`, else by a join."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush():
+            h, ids = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+            o = np.lexsort((ids, h))
+            h, ids = h[o], ids[o]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            last = np.concatenate([first[1:], [len(h)]])[: len(first)] - 1
+            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ids[first]), pa.array(ids[last])], ["h", "low", "high"])
+
+        for batch in batches:
+            lists = batch.column(2)
+            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        yield flush()
+
+    low = spans.mapInArrow(sums, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "low").checkpoint()
+    if low.count() > broadcast_rows:
+        rows = spans.select("id", "content", F.posexplode("windows").alias("start", "h")).join(low, "h").where("id > low")
+        return rows.groupBy("id", "content").agg(F.collect_set("start").alias("starts"))
+    known = low.toPandas().sort_values("h")
+    table = spans.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["low"].to_numpy(np.int64)))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lows = table.value
+        for batch in batches:
+            starts = []
+            for doc, windows in zip(batch.column(0).to_pylist(), batch.column(2)):
+                h = windows.values.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+                starts.append(np.flatnonzero((keys[at] == h) & (lows[at] < doc)) if len(keys) else np.zeros(0, np.int64))
+            keep = pa.array([len(x) > 0 for x in starts], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x in starts], pa.list_(pa.int32()))], ["id", "content", "starts"])
+            yield out.filter(keep)
+
+    return spans.mapInArrow(find, "id long, content long, starts array<int>")
+
+
 def _kept(docs: DataFrame, window: int, gram: int, listed: bool) -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space)."""
 
@@ -264,9 +310,7 @@ def remove_repeats(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sharded = open_spans.where("words is not null").repartition(parts, "anchor").sortWithinPartitions("anchor", "id")
     found = _matched(sharded, window)
-    hot = open_spans.where("words is null").select("id", "content", F.posexplode("windows").alias("start", "h"))
-    low = hot.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low")
-    hot = hot.join(low, "h").where("id > low").groupBy("id", "content").agg(F.collect_set("start").alias("starts"))
+    hot = _hot_windows(open_spans.where("words is null").select("id", "content", "windows"), broadcast_ids)
     some = found.unionByName(hot).groupBy("id").agg(F.collect_list(F.struct("content", "starts")).alias("some"))
     marked = lists.select("id", "whole").join(some, "id", "left").select("id", "whole", "some")
     out = _kept(touched.join(marked, "id").select("id", "text", "whole", "some"), window, gram, True)
