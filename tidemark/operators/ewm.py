@@ -59,7 +59,7 @@ def moments(df: DataFrame, v: str, axis: Axis, n: float, terms: dict[str, Column
     block = max(1, math.floor(RANGE / -math.log(w))) if 0 < w < 1 else 1
     names = df.columns
     own = (1 - w) * (col(wgt) if wgt else F.lit(1.0))
-    parts = {name: (own * x, 1) for name, x in terms.items()} | {"t0": (own, 1), "w2": (own * own, 2), "n0": (F.lit(1 - w), 1)}
+    parts = {name: (own * x, 1) for name, x in terms.items()} | {"_t0": (own, 1), "_w2": (own * own, 2), "_n0": (F.lit(1 - w), 1)}
     x = with_ticks(df, v, axis, clock)
     x = x.withColumn("_block", F.floor(F.col("_tick") / block).cast("long")).withColumn("_at", F.col("_tick") - F.col("_block") * block)
     x = x.withColumns({f"_c_{k}": F.coalesce(c, F.lit(0.0)) for k, (c, _) in parts.items()})
@@ -73,27 +73,27 @@ def moments(df: DataFrame, v: str, axis: Axis, n: float, terms: dict[str, Column
         here = F.coalesce(F.sum(c).over(inside), F.lit(0.0)) * power(F.col("_at"), k)
         there = F.coalesce(F.sum(c).over(before), F.lit(0.0)) * power(F.col("_at") + block, k)
         sums[name] = where_valid(v, here + there + F.col(f"_c_{name}"))
-    x = x.withColumns(sums | {"n1": where_valid(v, F.col("_seq"))})
+    x = x.withColumns(sums | {"_n1": where_valid(v, F.col("_seq"))})
     if state is not None:
-        s = state.select(*axis.by, *(F.col(f"s_{k}") for k in parts), "s_n1", "s_tick")
+        s = state.select(*axis.by, *(F.col(f"s_{k}") for k in parts), "s__n1", "s_tick")
         x = x.join(s, list(axis.by), "left")
         gone = F.col("_tick") if clock is None else F.col("_tick") - F.col("s_tick")
-        x = x.withColumns({k: where_valid(v, F.col(k) + F.coalesce(F.col(f"s_{k}") * power(gone, p), F.lit(0.0))) for k, (_, p) in parts.items()} | {"n1": F.col("n1") + F.coalesce("s_n1", F.lit(0))})
+        x = x.withColumns({k: where_valid(v, F.col(k) + F.coalesce(F.col(f"s_{k}") * power(gone, p), F.lit(0.0))) for k, (_, p) in parts.items()} | {"_n1": F.col("_n1") + F.coalesce("s__n1", F.lit(0))})
         names = [c for c in names]
-    return x.select(*names, *parts, "n1")
+    return x.select(*names, *parts, "_n1")
 
 
 def final_state(df: DataFrame, axis: Axis, v: str, clock: str | None = None) -> DataFrame:
     """One row per series: the moments after its last observation, as s_ columns, and its tick. With a clock, go on with
     rows of later ticks; an unfinished tick is best kept back and given again with the new rows."""
     tick = F.lit(0) if clock is None else calendar(axis.order[0], clock) if clock in "dbwmy" else col(clock)
-    held = [c for c in df.columns if c in ("t0", "w2", "n0", "n1") or c.startswith("m_")]
+    held = [c for c in df.columns if c in ("_t0", "_w2", "_n0", "_n1") or c.startswith("_m")]
     rows = df.where(col(v).isNotNull()).groupBy(*axis.by).agg(F.max_by(F.struct(*held, tick.alias("tick")), F.struct(*axis.order)).alias("s"))
     return rows.select(*axis.by, *(F.col(f"s.{c}").alias(f"s_{c}") for c in (*held, "tick")))
 
 
 def _terms(v: str, top: int) -> dict[str, Column]:
-    return {f"m_{k}": F.pow(col(v), F.lit(k)) if k > 1 else col(v) for k in range(1, top + 1)}
+    return {f"_m{k}": F.pow(col(v), F.lit(k)) if k > 1 else col(v) for k in range(1, top + 1)}
 
 
 def _gates(min_sample: float | None, min_periods: int | None, default: int) -> tuple[float, int]:
@@ -120,13 +120,13 @@ def _base(df: DataFrame, v: str, exc_zero: bool) -> tuple[DataFrame, str]:
 
 def ewma(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, min_periods: int = 0, state: DataFrame | None = None, out: str = "out") -> DataFrame:
     x = moments(df, v, axis, n, _terms(v, 1), clock, wgt, state)
-    return _finish(df, x, v, axis, out, F.when((F.col("t0") != 0) & (F.col("n1") >= min_periods), F.col("m_1") / F.col("t0")), False)
+    return _finish(df, x, v, axis, out, F.when((F.col("_t0") != 0) & (F.col("_n1") >= min_periods), F.col("_m1") / F.col("_t0")), False)
 
 
 def ewmrms(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, exc_zero: bool = False, min_periods: int = 0, state: DataFrame | None = None, out: str = "out") -> DataFrame:
     d, u = _base(df, v, exc_zero)
-    x = moments(d, u, axis, n, {"m_2": col(u) * col(u)}, clock, wgt, state)
-    return _finish(df, x, v, axis, out, F.when((F.col("t0") != 0) & (F.col("n1") >= min_periods), F.sqrt(F.col("m_2") / F.col("t0"))), exc_zero)
+    x = moments(d, u, axis, n, {"_m2": col(u) * col(u)}, clock, wgt, state)
+    return _finish(df, x, v, axis, out, F.when((F.col("_t0") != 0) & (F.col("_n1") >= min_periods), F.sqrt(F.col("_m2") / F.col("_t0"))), exc_zero)
 
 
 def variance(t0: Column, t1: Column, t2: Column, w2: Column, bias: bool) -> Column:
@@ -141,7 +141,7 @@ def ewmvar(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None
     d, u = _base(df, v, exc_zero)
     x = moments(d, u, axis, n, _terms(u, 2), clock, wgt, state)
     least, count = _gates(min_sample, min_periods, 3)
-    value = F.when((F.col("n0") >= least) & (F.col("n1") >= count), variance(F.col("t0"), F.col("m_1"), F.col("m_2"), F.col("w2"), bias))
+    value = F.when((F.col("_n0") >= least) & (F.col("_n1") >= count), variance(F.col("_t0"), F.col("_m1"), F.col("_m2"), F.col("_w2"), bias))
     return _finish(df, x, v, axis, out, value, exc_zero)
 
 
@@ -153,13 +153,13 @@ def ewmskew(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = Non
     x = moments(df, v, axis, n, _terms(v, 3), clock, wgt, state)
     w = decay(n)
     d = 1 + (n if n > 1 else w / (1 - w))
-    t0, m1, m2, m3 = (F.col(c) * d for c in ("t0", "m_1", "m_2", "m_3"))
+    t0, m1, m2, m3 = (F.col(c) * d for c in ("_t0", "_m1", "_m2", "_m3"))
     mean, second = m1 / t0, m2 / t0 - (m1 / t0) * (m1 / t0)
     skew = (m3 / t0 - 3 * mean * m2 / t0 + 2 * mean * mean * mean) / F.pow(second, F.lit(1.5))
     if not bias:
         skew = F.when(t0 > 2, skew * F.sqrt(t0 * (t0 - 1)) / (t0 - 2)).otherwise(skew)
     least, count = _gates(min_sample, min_periods, 4)
-    return _finish(df, x, v, axis, out, F.when((F.col("n0") >= least) & (F.col("n1") >= count) & (second > 0), skew), False)
+    return _finish(df, x, v, axis, out, F.when((F.col("_n0") >= least) & (F.col("_n1") >= count) & (second > 0), skew), False)
 
 
 def ewmvol(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, rms: bool = True, exc_zero: bool = False, out: str = "out") -> DataFrame:

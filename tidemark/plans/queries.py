@@ -42,12 +42,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Added before rounding, so that exact halves, which engines round in different ways, are off the edge.
+EDGE = "1.37e-7"
+NEAR = f" + {EDGE}, 6) + 0.0"
+
+
 def rounded(c: str | Column) -> Column:
-    return (F.round(c, 6) + 0.0) if isinstance(c, Column) else F.round(F.col(c), 6) + 0.0
+    return F.round((c if isinstance(c, Column) else F.col(c)) + F.lit(float(EDGE)), 6) + 0.0
 
 
 def _r(sql: str) -> str:
-    return f"round({sql}, 6) + 0.0"
+    return f"round({sql}{NEAR}"
 
 
 def add(name: str, run: Callable[[DataFrame], DataFrame], sql: str, source=events) -> None:
@@ -206,4 +211,4 @@ add_frame(
     "ewmacd", lambda e: ewm.ewmacd(e, "v", AXIS, 2, 7), f"(o1.t1 / o1.t0 - o.t1 / o.t0) / {ewm.ou_factor(2, 7)!r}",
     E_SQL + MEAN_CTES + moments_sql(7), "o JOIN o1 USING (event_id)",
 )
-add("ou_factor", lambda e: e.limit(1).select(rounded(F.lit(ewm.ou_factor(2, 7))).alias("out")), "SELECT round(sqrt(f * f / (1 - f * f) + s * s / (1 - s * s) - 2 * f * s / (1 - f * s)), 6) + 0.0 AS out FROM (SELECT 1 - 1 / 3.0 AS f, 1 - 1 / 8.0 AS s)")
+add("ou_factor", lambda e: e.limit(1).select(rounded(F.lit(ewm.ou_factor(2, 7))).alias("out")), f"SELECT {_r('sqrt(f * f / (1 - f * f) + s * s / (1 - s * s) - 2 * f * s / (1 - f * s))')} AS out FROM (SELECT 1 - 1 / 3.0 AS f, 1 - 1 / 8.0 AS s)")
