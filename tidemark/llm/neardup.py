@@ -31,7 +31,7 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 RECALL = 0.998
-ALL_PAIRS = 12
+ALL_PAIRS = 32
 NEIGHBOURS = 2
 
 _WORD = np.ones(256, bool)
@@ -206,9 +206,9 @@ def near_duplicates(
     heads = found.where("b is null").groupBy("tree", "head").agg(F.collect_set("a").alias("x"))  # at most one for each task
     across = heads.select(F.array_min("x").alias("a"), F.explode("x").alias("b")).where("a <> b")
     pairs = found.where("b is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     links = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("degree"))
+    degree = links.select(F.col("a").alias("copy_of")).union(links.select("b")).groupBy("copy_of").agg(F.count("*").alias("degree"))
     roots = components(links).withColumnRenamed("id", "copy_of")
     info = texts.join(degree, "copy_of", "left").join(roots, "copy_of", "left")
     classes = signed.select("id", "key").join(info, "key").select(
