@@ -37,7 +37,7 @@ def add_rows(name: str, run, columns: list[str], sql: str | None, source=panel)
 LEVELS = "l AS (SELECT s, t, sum(v) OVER (PARTITION BY s ORDER BY t) AS v FROM p)"
 
 
-def pair_sql(value: str, level: str, on: str, gate: str = "n0 >= 0.25", ffill: bool = True) -> str:
+def pair_sql(value: str, level: str, on: str, gate: str = "n0 >= 0.25", ffill: bool = True, times: str = "p") -> str:
     moments = ", ".join(f"sum(pow({DECAY}, a.k - b.k) * {OWN} * {x}) AS {n}" for n, x in (("t0", "1"), ("a1", "b.dx"), ("a2", "b.dx * b.dx"), ("b1", "b.dy"), ("b2", "b.dy * b.dy"), ("ab", "b.dx * b.dy")))
     fill = "last_value(c IGNORE NULLS) OVER (PARTITION BY i, j ORDER BY t ROWS UNBOUNDED PRECEDING)" if ffill else "c"
     return f"""WITH {PANEL_SQL}, {LEVELS},
@@ -46,7 +46,7 @@ def pair_sql(value: str, level: str, on: str, gate: str = "n0 >= 0.25", ffill: b
     m AS (SELECT a.i, a.j, a.t, {moments}, sum(pow({DECAY}, 2 * (a.k - b.k)) * {OWN * OWN}) AS w2, sum(pow({DECAY}, a.k - b.k) * {OWN}) AS n0
         FROM d a JOIN d b ON a.i = b.i AND a.j = b.j AND b.k <= a.k AND b.dx IS NOT NULL WHERE a.dx IS NOT NULL GROUP BY a.i, a.j, a.t),
     c AS (SELECT i, j, t, CASE WHEN {gate} THEN {value} END AS c FROM m),
-    g AS (SELECT i, j, t FROM (SELECT DISTINCT i, j FROM c) CROSS JOIN (SELECT DISTINCT t FROM p))
+    g AS (SELECT i, j, t FROM (SELECT DISTINCT i, j FROM c) CROSS JOIN (SELECT DISTINCT t FROM {times}))
     SELECT i, j, t, {_r(fill)} AS c FROM g LEFT JOIN c USING (i, j, t)"""
 
 
@@ -61,7 +61,7 @@ add_rows("ewmcorrelation", lambda d: pairs.ewmcorrelation(LEVELLED(d), "t", "s",
 add_rows("ewmcorr", lambda d: pairs.ewmcorr(d, "t", "s", "v", N), ["i", "j", "t", "c"], pair_sql(UNBIASED, "l", "<"))
 add_rows("ewmcovariance", lambda d: pairs.ewmcovariance(LEVELLED(d), "t", "s", "v", N), ["i", "j", "t", "c"], pair_sql(COV, "l", "<="))
 add_rows("ewmcovar", lambda d: pairs.ewmcovar(d, "t", "s", "v", N), ["i", "j", "t", "c"], pair_sql(COV, "l", "<="))
-add_rows("ewmx_lr", lambda d: pairs.ewmx_lr(LEVELLED(d).where("s = 'click'"), LEVELLED(d).where("s = 'view'"), "t", "s", "v", N).select("i", "j", "t", F.col("m").alias("c")), ["i", "j", "t", "c"], pair_sql(f"CASE WHEN {VA} > 0 THEN {COV} / {VA} END", "l", "<> b.s AND a.s = 'click' AND b.s = 'view' AND a.s <>"))
+add_rows("ewmx_lr", lambda d: pairs.ewmx_lr(LEVELLED(d).where("s = 'click'"), LEVELLED(d).where("s = 'view'"), "t", "s", "v", N).select("i", "j", "t", F.col("m").alias("c")), ["i", "j", "t", "c"], pair_sql(f"CASE WHEN {VA} > 0 THEN {COV} / {VA} END", "l", "<> b.s AND a.s = 'click' AND b.s = 'view' AND a.s <>", times="p WHERE s IN ('click', 'view')"))
 GRID_SQL = f"{PANEL_SQL}, g AS (SELECT s, t, v FROM (SELECT DISTINCT t FROM p) CROSS JOIN (SELECT DISTINCT s FROM p) LEFT JOIN p USING (s, t))"
 add_rows(
     "overlapping_returns", lambda d: pairs.overlapping_returns(d, "t", "s", "v", 3), ["s", "t", "out"],
