@@ -23,6 +23,7 @@ from tidemark.llm.kernels import text_chunks
 from tidemark.llm.pretokens import boundaries, slices
 
 CACHE = 400_000
+GENERATION = 120_000
 LONG_TOKEN = 48  # bytes from which merges are kept in a heap
 
 
@@ -200,6 +201,7 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, token: bytes) -> tuple[int, ...]:
         """Ids of one pre-token: the lowest-rank pair, the leftmost of equals, until none is left."""
@@ -251,10 +253,10 @@ class Codec:
         tokens = slices(data, begin)
         distinct = set(tokens)
         new = distinct.difference(self.known)
-        if len(new) + len(self.known) > CACHE:
-            self.known, new = {}, distinct
+        if len(new) + len(self.known) > GENERATION:  # of what was known before, only what is met again stays
+            self.known, self.older, new = {}, self.known, distinct
         for t in new:
-            self.known[t] = self.merge(t)
+            self.known[t] = self.older.get(t) or self.merge(t)
         each = list(map(self.known.__getitem__, tokens))
         ids = np.fromiter(chain.from_iterable(each), np.int64)
         sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])

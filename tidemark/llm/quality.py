@@ -13,6 +13,7 @@ SAMPLE_BYTES); scoring is one map over all rows and whole texts.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -197,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, po
     if not at:
         return None
     good = np.array([sample.get(d, -1) for d, _ in order])
-    return co_train(np.array([found["dense"][i] for i in at]), [found["words"][i].split() for i in at], np.array([found["meta"][i] for i in at]), good, rounds)
+    return co_train(np.array([found["dense"][i] for i in at]), [list(map(sys.intern, found["words"][i].split())) for i in at], np.array([found["meta"][i] for i in at]), good, rounds)
 
 
 def scored(documents: DataFrame, labels: DataFrame, *, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
