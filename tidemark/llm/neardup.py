@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import BROADCAST_IDS, components, with_ids
 from tidemark.llm.kernels import U64, byte_words, gram_hashes, mix, slice_hashes, text_chunks
+from tidemark.llm.token_files import shared_folder
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -191,6 +192,7 @@ def near_duplicates(
 
     A null text is an empty one; texts without words are classed by being equal only. Rows of one id are one document.
     """
+    shared_folder(documents.sparkSession, "/tmp/tidemark")  # for checkpoints
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = _signed(docs, shingle, trees, depth, prefix_length(threshold, trees, depth, recall)).checkpoint()
     texts = signed.groupBy("key").agg(F.min("id").alias("copy_of"), F.count("*").alias("n_copies"))

@@ -172,6 +172,9 @@ def shared_folder(spark: SparkSession, default: str | None = None) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or default
     if not folder:
         raise ValueError("spark.checkpoint.dir is not set")
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
