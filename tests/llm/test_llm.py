@@ -332,3 +332,17 @@ def test_tables_of_hashes():
     g = np.array([5, 3, 3, 9, 1], np.uint64)
     assert kernels.window_minima(g, 3).tolist() == [2, 2, 4]
     assert pd.Series(kernels.member(g, np.array([3, 9], np.uint64))).sum() == 3
+
+
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_exact_top_k", "op5_jaccard_join", "op7_substring_dedup"])
+def test_queries_against_sql(spark, sf, name):
+    import duckdb
+
+    from tidemark.llm import queries
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    want = c.execute(queries.SQL[name]).df()[df.columns].values.tolist()
+    assert sorted(map(tuple, want)) == sorted(tuple(r) for r in df.collect())

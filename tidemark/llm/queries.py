@@ -62,7 +62,58 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_line_templates, op3_token_counts, op4_exact_top_k, op5_jaccard_join, op6_html_text, op7_substring_dedup, op8_byte_bpe, op9_token_files, op10_quality)}
 
+# Words of a text with their places, and runs of n of them as strings.
+_WORDS = """{0}w AS (
+    SELECT r, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS j FROM (SELECT row_number() OVER () AS r, {1} AS id, regexp_extract_all({2}, '{3}') AS ws FROM {4}))"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+_LETTERED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _runs(source: str, n: int | str, columns: str = "r, id, j") -> str:
+    """Every run of n consecutive words, with the place of its first."""
+    return f"SELECT {columns}, string_agg(w, ' ') OVER o AS g, count(*) OVER o AS n FROM {source} WINDOW o AS (PARTITION BY r ORDER BY j ROWS BETWEEN CURRENT ROW AND {n} - 1 FOLLOWING)"
+
+
+def _benchmark_runs() -> str:
+    """Windows of the items: of 8 words, or of all words of an item that has fewer; document runs of each such length."""
+    own = "SELECT DISTINCT id, g, n FROM (SELECT id, g, n, count(*) OVER (PARTITION BY r) AS size FROM bg) WHERE n = least(8, size)"
+    lengths = " UNION ALL ".join(f"SELECT r, id, j, g, n FROM ({_runs('dw', n)}) WHERE n = {n}" for n in range(1, 9))
+    return f"bg AS ({_runs('bw', 8)}), b AS ({own} AND id IS NOT NULL), d AS ({lengths})"
+
+
 SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        WITH {_WORDS.format('d', 'doc_id', _LOWER, _LETTERED, 'documents')}, {_WORDS.format('b', 'item_id', _LOWER, _LETTERED, 'benchmark')},
+        {_benchmark_runs()},
+        h AS (SELECT d.r, d.j, d.n, b.id AS item FROM d JOIN b ON b.g = d.g AND b.n = d.n),
+        c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(j, j + n)) AS k FROM h) GROUP BY r),
+        i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item AS VARCHAR) AS item FROM h) GROUP BY r),
+        t AS (SELECT row_number() OVER () AS r, doc_id FROM documents), n AS (SELECT r, count(*) AS n_words FROM dw GROUP BY r)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+        FROM t LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN i USING (r)
+    """,
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE f AS (SELECT coalesce(text, '') AS text, min(doc_id) AS id, count(*) AS n FROM documents GROUP BY 1),
+        {_WORDS.format('d', 'id', 'text', _SPACED, 'f')}, g AS ({_runs('dw', 5)}),
+        s AS (SELECT DISTINCT id, g FROM (SELECT id, j, g, n, count(*) OVER (PARTITION BY r) AS size FROM g) WHERE n = least(5, size) AND (n = 5 OR j = 1)),
+        z AS (SELECT id, count(*) AS size FROM s GROUP BY id),
+        l AS (SELECT a.id AS a, b.id AS b FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id JOIN z x ON x.id = a.id JOIN z y ON y.id = b.id
+            GROUP BY a.id, b.id HAVING count(*) >= 0.8 * (any_value(x.size) + any_value(y.size) - count(*))),
+        c AS (SELECT id AS a, id AS b FROM f UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b),
+        m AS (SELECT a AS id, min(b) AS class_id FROM c GROUP BY a), k AS (SELECT a AS id, count(*) AS links FROM l GROUP BY a)
+        SELECT doc_id, class_id, coalesce(links, 0) + f.n - 1 AS n_links
+        FROM documents d JOIN f ON f.text = coalesce(d.text, '') JOIN m USING (id) LEFT JOIN k USING (id)
+    """,
+    "op7_substring_dedup": f"""
+        WITH {_WORDS.format('d', 'doc_id', 'text', _SPACED, 'documents')},
+        g AS (SELECT r, id, j, md5(g) AS g FROM ({_runs('dw', 50)}) WHERE n = 50), f AS (SELECT g, min(id) AS id FROM g GROUP BY g),
+        c AS (SELECT DISTINCT r, unnest(range(j, j + 50)) AS j FROM g JOIN f ON f.g = g.g AND f.id < g.id),
+        k AS (SELECT r, count(*) AS n_words, count(c.j) AS n_removed, string_agg(w, ' ' ORDER BY dw.j) FILTER (c.j IS NULL) AS kept FROM dw LEFT JOIN c USING (r, j) GROUP BY r),
+        t AS (SELECT row_number() OVER () AS r, doc_id FROM documents)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+    """,
     "op4_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
