@@ -235,6 +235,31 @@ def test_near_duplicates(spark, all_pairs):
     assert empty.count() == 0
 
 
+def star(rng, n, words=200, edits=4):
+    """An original and n copies of it, near it but mostly not near each other."""
+    w = prose(rng, words).split()
+    out = [" ".join(w)]
+    for _ in range(n):
+        c = list(w)
+        for at in rng.sample(range(words), edits):
+            c[at] = rng.choice(VOCAB)
+        out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize("block", [400, 60])
+def test_near_duplicates_of_a_star(spark, block):
+    texts = star(random.Random(11), 400)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 400 and len(want) < 0.1 * 400 * 399 / 2
+    classes, links = neardup.near_duplicates(docs(spark, texts), block=block)
+    rows = classes.collect()
+    assert {r["class_id"] for r in rows} == {0}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want
+    assert {r["doc_id"]: r["n_links"] for r in rows} == {i: sum(i in p for p in want) for i in range(len(texts))}
+
+
 def test_prefix_length():
     assert neardup.prefix_length(0.8, 16, 8, 0.998) == 5
     assert neardup.prefix_length(0.1, 1, 8, 0.999) == 1

@@ -3,18 +3,19 @@
 A document's signature is `trees` sequences of least hashes. A tree of the forest is the sorted list of one sequence of
 every document, a prefix trie in the order of its leaves: documents that share a prefix stand together. The length at
 which documents count as candidates starts at the full sequence and is shortened until a pair at the threshold shares a
-prefix in some tree with probability `recall` (prefix_length). Within a run of documents that share that prefix, the
-order goes on by deeper values, so nearest are neighbours.
-
-Runs up to `all_pairs` documents give all their pairs. Longer runs are large groups of near copies: there every
-document is paired with its neighbours in the order and with the run's head, in every tree; links that are left out run
-between documents of one group that these links connect. Copies of one text are one entry. Rows are dealt by ranges of
-the whole sort key, so a run of any length is spread over tasks; the heads of its pieces are paired in turn.
-Every candidate pair is verified on the texts' full shingle sets.
+prefix in some tree with probability `recall` (prefix_length); that length is a constant of the parameters. All pairs of
+a run, the documents that share a prefix, are candidates, whatever the length of the run.
+
+Pairs of runs up to `all_pairs` documents are rows. Longer runs are large groups of near copies, whose pairs would be too
+many rows: runs that share documents are one group, and a group is dealt in blocks. Each two blocks are one unit of work,
+which compares all their pairs by the full shingle sets and hands on how many links each document has and a spanning
+forest of them. The work grows with the square of a group, the rows with the number of its blocks. Copies of one text are
+one entry. Every candidate pair is verified on the texts' full shingle sets.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ TREES = 16
 DEPTH = 8
 RECALL = 0.998
 ALL_PAIRS = 32
-NEIGHBOURS = 2
+BLOCK = 400  # texts of a block on average
+BLOCK_BYTES = 1 << 23  # of their shingle hashes
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -73,77 +75,161 @@ def signatures(hashes: np.ndarray, index: np.ndarray, trees: int, depth: int) ->
     return out
 
 
-def _signed(docs: DataFrame, k: int, trees: int, depth: int, prefix: int) -> DataFrame:
-    """id, key (of the text), and for each tree the hash of the prefix and the order within it; none without words."""
+def _signed(docs: DataFrame, k: int, trees: int, prefix: int) -> DataFrame:
+    """id, key (of the text), and for each tree the hash of the prefix; none without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 hashes, index = shingles(data, offsets, k)
-                s = signatures(hashes, index, trees, depth).reshape(-1, trees, depth)
+                s = signatures(hashes, index, trees, prefix).reshape(-1, trees, prefix)
                 head = np.zeros(s.shape[:2], U64)
                 for j in range(prefix):
                     head = mix(head * U64(31) + s[:, :, j])
-                order = np.zeros(s.shape[:2], U64)
-                for j in range(prefix, min(depth, prefix + 3)):
-                    order = (order << U64(21)) | (s[:, :, j] >> U64(43))
                 has = np.diff(index) > 0
                 at = np.concatenate([[0], np.cumsum(has * trees)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel().view(np.int64))) for x in (head, order)]
+                heads = pa.ListArray.from_arrays(pa.array(at), pa.array(head.ravel().view(np.int64)))
                 o = offsets.tolist()
                 keys = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(o, o[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(keys, pa.binary()), *lists], ["id", "key", "heads", "orders"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(keys, pa.binary()), heads], ["id", "key", "heads"])
 
-    return docs.mapInArrow(run, "id long, key binary, heads array<long>, orders array<long>")
+    return docs.mapInArrow(run, "id long, key binary, heads array<long>")
 
 
-def _runs(forest: DataFrame, all_pairs: int, neighbours: int) -> DataFrame:
-    """Pairs (a, b) from sorted runs of one (tree, head), and with b null the head a of each piece of a run that may
-    go on in another task: the first and the last run of a task."""
+def _short_pairs(runs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each run of one (tree, head), whose rows stand together, but those of one large group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, ahead = None, True
-        members: list[int] = []  # of a short run all, of a long one the head and the latest
-        long = False
+        now, members = None, []
 
-        def close(edge):
-            if edge and members:
-                out.append((members[0], None, *now))
-            if not long:
-                out.extend((members[i], members[j], *now) for j in range(len(members)) for i in range(j))
-
-        def pair(doc, to):
-            out.extend((x, doc, *now) for x in {to[0], *to[-neighbours:]})
+        def close():
+            out.extend((x, y) for j, (y, h) in enumerate(members) for x, g in members[:j] if h is None or g != h)
 
         def flush():
-            a, b, t, h = zip(*out) if out else ((), (), (), ())
+            a, b = zip(*out) if out else ((), ())
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in ((a, pa.int64()), (b, pa.int64()), (t, pa.int32()), (h, pa.int64()))], ["a", "b", "tree", "head"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for tree, head, doc in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for tree, head, doc, group in zip(*(c.to_pylist() for c in batch.columns)):
                 if (tree, head) != now:
-                    if now is not None:
-                        close(ahead)
-                        ahead = False
-                    now, members, long = (tree, head), [], False
-                if long:
-                    pair(doc, members)
-                    members = [members[0], *members[-neighbours:], doc]
-                else:
-                    members.append(doc)
-                if not long and len(members) > all_pairs:  # a long run: what was held back comes first
-                    long = True
-                    for j in range(1, len(members)):
-                        pair(members[j], members[:j])
+                    close()
+                    now, members = (tree, head), []
+                members.append((doc, group))
                 if len(out) > 20_000:
                     yield flush()
-        if now is not None:
-            close(True)
+        close()
         yield flush()
 
-    return forest.mapInArrow(run, "a long, b long, tree int, head long")
+    return runs.mapInArrow(run, "a long, b long")
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """id, set: the distinct shingle hashes of each text, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, offsets in text_chunks(batch.column(1)):
+                hashes, index = shingles(data, offsets, k)
+                sets = [np.unique(hashes[i:j]).tobytes() for i, j in zip(index.tolist(), index[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def similarities(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of every set of x to every set of y, which may be x itself; no set is empty."""
+    sets = x if y is x else x + y
+    sizes = np.array([len(s) for s in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(at, minlength=len(values)) > 1  # the others are in no two sets
+    at, owner = (np.cumsum(shared) - 1)[at[shared[at]]], owner[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, int(shared.sum()), 2048):
+        i, j = np.searchsorted(at, [c, c + 2048])
+        m = np.zeros((len(sets), 2048), np.float32)
+        m[owner[i:j], at[i:j] - c] = 1
+        common += m[: len(x)] @ m[len(sets) - len(y) :].T
+    common = common.astype(float)
+    same = common if y is not x else common * (1 - np.eye(len(x))) + np.diag(sizes)
+    return same / (sizes[: len(x), None] + sizes[len(sets) - len(y) :] - same)
+
+
+def spanning(adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a graph."""
+    left, edges = np.ones(len(adjacent), bool), []
+    for start in np.flatnonzero(adjacent.any(axis=1)).tolist():
+        todo = [start] if left[start] else []
+        left[start] = False
+        while todo:
+            u = todo.pop()
+            new = np.flatnonzero(adjacent[u] & left).tolist()
+            left[new] = False
+            edges += [(u, v) for v in new]
+            todo += new
+    return edges
+
+
+def _units(sets: DataFrame, groups: DataFrame, parts: int, block: int, block_bytes: int) -> DataFrame:
+    """component, i, j, block, id, set: every set once for each block of its group, rows of one unit (i, j) together."""
+    sizes = sets.select("id", F.length("set").alias("bytes")).join(groups, "id").groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = sizes.select("component", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("blocks"))
+    placed = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    dealt = placed.select("component", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    units = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(sets, "id")
+    return units.select("component", "i", "j", "block", "id", "set").repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "id")
+
+
+def _compared(units: DataFrame, threshold: float, whole: bool) -> DataFrame:
+    """(a, b, similarity, n) of all pairs of each unit: with `whole` its links (n null); without, a spanning forest of
+    them (n and similarity null) and for each end a of links their number n (b null)."""
+
+    def unit(i, j, rows):
+        ids = np.array([r[1] for r in rows])
+        sets = [np.frombuffer(r[2], U64) for r in rows]
+        n = sum(r[0] == i for r in rows)
+        x, y = (slice(0, n), slice(0, n)) if i == j else (slice(0, n), slice(n, len(rows)))
+        if n == 0 or n == len(rows) and i != j:
+            return
+        left = sets[x]
+        s = similarities(left, left if i == j else sets[y])
+        linked = (s >= threshold) & (ids[x, None] != ids[y])
+        if whole:
+            for a, b in zip(*np.nonzero(np.triu(linked) if i == j else linked)):
+                p, q = int(ids[x][a]), int(ids[y][b])
+                yield min(p, q), max(p, q), float(s[a, b]), None
+            return
+        if i != j:
+            full = np.zeros((len(rows), len(rows)), bool)
+            full[x, y], full[y, x] = linked, linked.T
+            linked = full
+        names = ids.tolist()
+        yield from ((names[a], names[b], None, None) for a, b in spanning(linked))
+        yield from ((names[a], None, None, d) for a, d in enumerate(linked.sum(axis=1).tolist()) if d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def results():
+            now, rows = None, []
+            for batch in batches:
+                for *key, block, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
+                    if key != now:
+                        if rows:
+                            yield from unit(*now[1:], rows)
+                        now, rows = key, []
+                    rows.append((block, doc, data))
+            if rows:
+                yield from unit(*now[1:], rows)
+
+        found = results()
+        while part := list(itertools.islice(found, 20_000)):
+            arrays = [pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "similarity", "n"])
+
+    return units.mapInArrow(run, "a long, b long, similarity double, n long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -181,37 +267,40 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> Da
 
 def near_duplicates(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD,
-    trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, all_pairs: int = ALL_PAIRS, neighbours: int = NEIGHBOURS, broadcast_ids: int = BROADCAST_IDS,
+    trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, all_pairs: int = ALL_PAIRS, block: int = BLOCK, broadcast_ids: int = BROADCAST_IDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
     classes: one row per row of `documents` with an id: id, copy_of (smallest id with the very same text), class_id
     (smallest id that links and copies lead to), n_links (links of its text to different texts, plus its other copies).
-    links: (a, b, similarity) between the first copies of different texts. In runs of more than `all_pairs` texts not
-    every pair is verified (see above), so n_links counts those found; class ids don't depend on the others.
+    links: (a, b, similarity) between the first copies of different texts; those of groups with runs of more than
+    `all_pairs` texts are computed when they are read, and may be as many as the pairs of the group.
 
     A null text is an empty one; texts without words are classed by being equal only. Rows of one id are one document.
     """
     shared_folder(documents.sparkSession, "/tmp/tidemark")  # for checkpoints
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = _signed(docs, shingle, trees, depth, prefix_length(threshold, trees, depth, recall)).checkpoint()
+    signed = _signed(docs, shingle, trees, prefix_length(threshold, trees, depth, recall)).checkpoint()
     texts = signed.groupBy("key").agg(F.min("id").alias("copy_of"), F.count("*").alias("n_copies"))
     firsts = signed.join(texts, [signed["key"] == texts["key"], signed["id"] == texts["copy_of"]], "left_semi").dropDuplicates(["key"])
-    forest = firsts.select("id", F.posexplode(F.arrays_zip("heads", "orders")).alias("tree", "x")).select("tree", F.col("x.heads").alias("head"), "id", F.col("x.orders").alias("order"))
+    forest = firsts.select("id", F.posexplode("heads").alias("tree", "head")).select("tree", "head", "id")
     # a prefix that one document has is no run: most go here, before anything is sorted
-    shared = forest.groupBy("tree", "head").agg(F.count("*").alias("n")).where("n > 1").select("tree", "head")
-    forest = forest.join(shared, ["tree", "head"]).select("tree", "head", "id", "order").checkpoint()
+    shared = forest.groupBy("tree", "head").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    forest = forest.join(shared, ["tree", "head"]).select("tree", "head", "id", "n", "least").checkpoint()
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = forest.repartitionByRange(parts, "tree", "head", "order", "id").sortWithinPartitions("tree", "head", "order", "id")
-    found = _runs(ordered, all_pairs, neighbours).checkpoint()
-    # pieces of one run in several tasks: each but the first is paired with the first
-    heads = found.where("b is null").groupBy("tree", "head").agg(F.collect_set("a").alias("x"))  # at most one for each task
-    across = heads.select(F.array_min("x").alias("a"), F.explode("x").alias("b")).where("a <> b")
-    pairs = found.where("b is not null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    groups = components(forest.where((F.col("n") > all_pairs) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))).checkpoint()
+    short = forest.where(F.col("n") <= all_pairs).join(groups, "id", "left").select("tree", "head", "id", "component")
+    pairs = _short_pairs(short.repartition(parts, "tree", "head").sortWithinPartitions("tree", "head", "id")).where("a <> b").distinct().checkpoint()
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
-    degree = links.select(F.col("a").alias("copy_of")).union(links.select("b")).groupBy("copy_of").agg(F.count("*").alias("degree"))
-    roots = components(links).withColumnRenamed("id", "copy_of")
+    few = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
+    sets = _shingle_sets(with_ids(docs, groups.select("id"), "id", "left_semi", broadcast_ids), shingle).where("length(set) > 0").checkpoint()
+    units = _units(sets, groups, parts, block, BLOCK_BYTES)
+    dense = _compared(units, threshold, False).checkpoint()
+    links = few.unionByName(_compared(units, threshold, True).select("a", "b", "similarity"))
+    ones = few.select(F.col("a").alias("copy_of"), F.lit(1).cast("long").alias("n")).union(few.select("b", F.lit(1).cast("long")))
+    degree = ones.union(dense.where("b is null").select("a", "n")).groupBy("copy_of").agg(F.sum("n").alias("degree"))
+    edges = few.select("a", "b").union(dense.where("b is not null").select("a", "b"))
+    roots = components(edges).withColumnRenamed("id", "copy_of")
     info = texts.join(degree, "copy_of", "left").join(roots, "copy_of", "left")
     classes = signed.select("id", "key").join(info, "key").select(
         "id", "copy_of", F.coalesce("component", "copy_of").alias("class_id"), (F.coalesce("degree", F.lit(0)) + F.col("n_copies") - 1).alias("n_links")
