@@ -350,6 +350,14 @@ def test_pipeline_keeps_its_promises(spark, sf):
     assert all(r["round_trip"] for r in last) and {r["doc_id"] for r in last} == before
 
 
+def test_pipeline_keeps_one_of_a_star(spark, sf):
+    import corpus_pipeline
+
+    texts = star(random.Random(12), 300) + [prose(random.Random(13), 90)]
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs(spark, texts), sf).collect()) == [0, 301]
+
+
 def test_tables_of_hashes():
     raw = np.frombuffer(b"ab ab cd", np.uint8)
     h = kernels.slice_hashes(raw, np.array([0, 3, 6]), np.array([2, 5, 8]))
