@@ -159,6 +159,17 @@ def test_line_templates(spark, rows):
     assert line_templates.drop_recurring(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1000, 0])
+def test_frequent_and_rare_forms_of_a_template(spark, rows):
+    names = ["bob"] * 20 + ["ann"] * 3 + ["eve", "joe", "sue"]
+    texts = [f"written for you by {name} in town\nline {chr(97 + i)} x{chr(97 + i)} end" for i, name in enumerate(names)]
+    out = {r["doc_id"]: r for r in line_templates.drop_recurring(docs(spark, texts), min_docs=10, broadcast_rows=rows).collect()}
+    assert [out[i]["n_dropped"] for i in range(len(texts))] == [0] + [1] * 25
+    assert "by bob in" in out[0]["text"] and all(out[i]["text"] == texts[i].split("\n")[1] for i in range(1, 26))
+    few = line_templates.drop_recurring(docs(spark, texts[20:]), min_docs=10, broadcast_rows=rows)
+    assert few.agg(F.sum("n_dropped")).first()[0] == 0
+
+
 # --- search -----------------------------------------------------------------------------------------------------------
 
 

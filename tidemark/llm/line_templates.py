@@ -3,7 +3,8 @@
 Every line goes down a tree of fixed depth: by its number of tokens, then by its first `depth` tokens (a token with a
 digit is a variable field, <*>). In a leaf, tokens that stand at their place in fewer than `min_docs` documents become
 variable fields too; what is left of a line is its template. A template that occurs in `min_docs` documents or more
-recurs. Its lines are dropped from every document but the one with the smallest id.
+recurs, where all lines of the leaf count that have its constants. Its lines are dropped from every document but the one
+with the smallest id; a line of several such templates goes with the one of most constants.
 
 Shuffles carry one row for each distinct line and document, counted before they move; leaves that too few documents
 reach end there, so tokens are only counted in the few leaves that can hold a template. Only templates and their lines
@@ -28,6 +29,7 @@ MIN_DOCS = 10
 DEPTH = 3
 CONSTANT = 0.6  # least share of a template's tokens that are not variable fields
 BROADCAST_ROWS = 500_000
+BLOCK = 500  # lines or templates of a leaf that are compared at once
 
 _FIELD = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
@@ -74,10 +76,53 @@ def _lines(docs: DataFrame, depth: int, leaves=None, texts: bool = False) -> Dat
     return docs.mapInArrow(run, f"id {kind}, leaf long, line long" + ", text string" * texts)
 
 
+def _forms(shapes: DataFrame, rare) -> DataFrame:
+    """leaf, line, template, constants: every line with every template of a rare line of its leaf whose constants it has.
+    Lines and templates of a leaf are dealt in blocks, and each block of lines meets each block of templates."""
+    size = lambda rows: rows.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    kinds = shapes.where(rare).dropDuplicates(["template"])
+    lines = shapes.join(size(shapes).withColumnRenamed("blocks", "own"), "leaf").join(size(kinds).withColumnRenamed("blocks", "other"), "leaf")
+    kinds = kinds.join(size(kinds).withColumnRenamed("blocks", "own"), "leaf").join(size(shapes).withColumnRenamed("blocks", "other"), "leaf")
+
+    def dealt(rows: DataFrame, key: str, place: str, against: str, kind: int) -> DataFrame:
+        rows = rows.withColumn(place, F.pmod(F.xxhash64(key), "own")).withColumn(against, F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1)))
+        return rows.select("leaf", "i", "j", F.lit(kind).alias("kind"), F.col(key).alias("key"), "size", "places", "tokens")
+
+    units = dealt(kinds, "template", "j", "i", 0).union(dealt(lines, "line", "i", "j", 1))
+    parts = int(shapes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = units.repartition(parts, "leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, templates = None, []
+        for batch in batches:
+            out = []
+            for leaf, i, j, kind, key, size, places, tokens in zip(*(c.to_pylist() for c in batch.columns)):
+                if (leaf, i, j) != now:
+                    now, templates, table = (leaf, i, j), [], None
+                if not kind:
+                    templates.append((key, places, tokens))
+                    continue
+                if not templates:
+                    continue
+                if table is None:
+                    table, free = np.zeros((len(templates), size), np.int64), np.ones((len(templates), size), bool)
+                    for row, (_, p, t) in enumerate(templates):
+                        table[row, p], free[row, p] = t, False
+                    constants = (~free).sum(axis=1)
+                has, at = np.zeros(size, np.int64), np.zeros(size, bool)
+                has[places], at[places] = tokens, True
+                out += [(leaf, key, templates[r][0], int(constants[r])) for r in np.flatnonzero((free | at & (table == has)).all(axis=1))]
+            arrays = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["leaf", "line", "template", "constants"])
+
+    return units.mapInArrow(run, "leaf long, line long, template long, constants int")
+
+
 def recurring(
     docs: DataFrame, *, min_docs: int = MIN_DOCS, depth: int = DEPTH, constant: float = CONSTANT, broadcast_rows: int = BROADCAST_ROWS, folder: str | None = None,
 ) -> DataFrame:
-    """line (hash of the masked line), template, first (smallest id), n_docs: every line of every recurring template."""
+    """line (hash of the masked line), template, first (smallest id), n_docs: every line of every recurring template. In
+    n_docs, documents with several forms of a template count once for each form that is frequent by itself."""
     spark = docs.sparkSession
     base = f"{folder or shared_folder(spark, '/tmp/tidemark')}/lines-{uuid.uuid4().hex}"
 
@@ -88,31 +133,38 @@ def recurring(
     docs = docs.where("id is not null")
     known = written(_lines(docs, depth).groupBy("leaf", "line").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")), "known")
     frequent = known.where(F.col("n_docs") >= min_docs).select("line", F.col("line").cast("string").alias("template"), "first", "n_docs")
-    # of the other lines, only those in leaves that enough documents reach are looked at again
-    rare = known.where(F.col("n_docs") < min_docs)
-    leaves = rare.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    # only lines in leaves that enough documents reach are looked at again, and none in leaves of frequent lines alone
+    rare = F.col("n_docs") < min_docs
+    leaves = known.groupBy("leaf").agg(F.sum("n_docs").alias("n"), F.max(rare).alias("rare")).where((F.col("n") >= min_docs) & F.col("rare")).select("leaf")
     if leaves.count() <= broadcast_rows:
         table = spark.sparkContext.broadcast({r["leaf"] for r in leaves.collect()})
         texts = _lines(docs, depth, table, True)
     else:
         texts = _lines(docs, depth, None, True).join(leaves, "leaf")
-    texts = written(texts.join(rare.select("leaf", "line"), ["leaf", "line"], "left_semi") if leaves.count() > broadcast_rows else texts, "texts")
-    near = texts.groupBy("leaf", "line").agg(F.first("text").alias("text"), F.count("*").alias("n_docs")).where(F.col("n_docs") < min_docs)
+    texts = written(texts, "texts")
+    near = texts.groupBy("leaf", "line").agg(F.first("text").alias("text"), F.count("*").alias("n_docs"), F.min("id").alias("first"))
     cells = near.select("leaf", "line", "n_docs", F.posexplode(F.split("text", " ")).alias("place", "token"))
     # which tokens are constant at their place
     tokens = cells.groupBy("leaf", "place", "token").agg(F.sum("n_docs").alias("n")).where((F.col("n") >= min_docs) & (F.col("token") != "<*>"))
     kept = cells.join(tokens.select("leaf", "place", "token"), ["leaf", "place", "token"])
     shapes = (
         kept.groupBy("leaf", "line").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("shape"))
-        .join(near.select("leaf", "line", F.size(F.split("text", " ")).alias("size")), ["leaf", "line"])
+        .join(near.select("leaf", "line", "n_docs", "first", F.size(F.split("text", " ")).alias("size")), ["leaf", "line"])
         .where(F.size("shape") >= constant * F.col("size"))
-        .select("leaf", "line", F.concat_ws(" ", F.col("leaf").cast("string"), F.concat_ws(" ", F.transform("shape", lambda x: F.concat_ws(":", x["place"].cast("string"), x["token"])))).alias("template"))
     )
     shapes = written(shapes, "shapes")
-    # how many documents, exactly: none of these lines has min_docs of its own, so no key here is large before it is summed
-    members = texts.select("id", "leaf", "line").join(shapes, ["leaf", "line"]).select("template", "id").distinct()
-    counts = members.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("first")).where(F.col("n_docs") >= min_docs)
-    return frequent.unionByName(shapes.select("line", "template").join(counts, "template").select("line", "template", "first", "n_docs"))
+    # a line is a form of its own template, and of those of other lines of the leaf that have fewer constants and else the same
+    hashed = shapes.select("leaf", "line", "n_docs", "first", "size", F.col("shape.place").alias("places"), F.transform("shape", lambda x: F.xxhash64(x["token"])).alias("tokens"))
+    hashed = hashed.withColumn("template", F.xxhash64("leaf", "places", "tokens"))
+    forms = written(_forms(hashed, rare).join(hashed.select("leaf", "line", "n_docs", "first"), ["leaf", "line"]), "forms")
+    # how many documents: exactly of rare forms, none of which has min_docs of its own, so no key here is large before it is
+    # summed; a frequent form is enough by itself, and its sum is added
+    members = texts.select("id", "leaf", "line").join(forms.where(rare).select("leaf", "line", "template"), ["leaf", "line"]).select("template", "id").distinct()
+    counts = members.groupBy("template").agg(F.count("*").alias("n_docs"), F.min("id").alias("first"))
+    counts = counts.union(forms.where(~rare).groupBy("template").agg(F.sum("n_docs"), F.min("first"))).groupBy("template").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first")).where(F.col("n_docs") >= min_docs)
+    # of several recurring templates the one with most constants has the line
+    best = forms.where(rare).select("line", "template", "constants").join(counts, "template").groupBy("line").agg(F.min(F.struct(-F.col("constants"), "first", F.col("template").cast("string").alias("template"), "n_docs")).alias("x"))
+    return frequent.unionByName(best.select("line", "x.template", "x.first", "x.n_docs"))
 
 
 def drop_recurring(
