@@ -170,6 +170,13 @@ def test_frequent_and_rare_forms_of_a_template(spark, rows):
     assert few.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_footers_of_mostly_fields(spark):
+    footers = ["Page {0} of 40", "Page {0}", "Updated: 2020-01-{0} 12:{0}"]
+    texts = ["\n".join([*(f.format(10 + i) for f in footers), f"{i} | {i + 1}"]) for i in range(12)]
+    out = {r["doc_id"]: r for r in line_templates.drop_recurring(docs(spark, texts)).collect()}
+    assert out[0]["text"] == texts[0] and [out[i]["text"] for i in range(1, 12)] == [f"{i} | {i + 1}" for i in range(1, 12)]
+
+
 # --- search -----------------------------------------------------------------------------------------------------------
 
 

@@ -33,19 +33,18 @@ BLOCK = 500  # lines or templates of a leaf that are compared at once
 
 _FIELD = re.compile(r"\S*\d\S*")
 _DIGIT = re.compile(r"\d")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
-def parse(line: str, depth: int = DEPTH, constant: float = CONSTANT) -> tuple[int, int, str] | None:
+def parse(line: str, depth: int = DEPTH) -> tuple[int, int, str] | None:
     """(leaf, hash, line with <*> for tokens that hold a digit, tokens apart by one space); None for a blank line. A line
-    that would keep less than `constant` of its tokens (a number, a date) stands as it is."""
+    without any constant word, of numbers and marks only, stands as it is."""
     tokens = line.split()
     if not tokens:
         return None
     masked = " ".join(tokens)
-    if _DIGIT.search(masked):
-        general = _FIELD.sub("<*>", masked)
-        if general.split(" ").count("<*>") <= (1 - constant) * len(tokens):
-            masked = general
+    if _DIGIT.search(masked) and any(_LETTER.search(t) and not _DIGIT.search(t) for t in tokens):
+        masked = _FIELD.sub("<*>", masked)
     leaf = f"{len(tokens)} " + " ".join(masked.split(" ", depth)[:depth])
     return _hash(leaf), _hash(masked), masked
 
