@@ -230,3 +230,31 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["pos"]: r["out"] for r in spark.read.parquet(str(tmp_path / "out")).where("k = 0").collect()}
     close([got[i] for i in range(4)], reference_ewma([1.0, 2.0, 2.0, 3.0], 3))
+
+
+def test_matrix_queries_take_the_whole_panel(spark, sf):
+    from tidemark.plans import panel_queries as P
+
+    def by_time(df):
+        out = {}
+        for r in df.collect():
+            m = out.setdefault(r["t"], {})
+            m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["c"]
+        return out
+
+    d = P.panel(spark, sf)
+    got = {}
+    for r in P.QUERIES["riskparity"](spark, sf).collect():
+        got.setdefault(r["t"], {})[r["i"]] = r["w"]
+    want = by_time(P.COVARIANCES(d))
+    assert set(got) == set(want) and len({t.hour for t in got}) == 24
+    for t, m in want.items():
+        names = sorted({i for i, _ in m})
+        w = matrices.risk_parity(np.array([[m.get((i, j), np.nan) for j in names] for i in names]))
+        assert np.allclose(np.array([got[t][i] for i in names], float), w, atol=2e-6, equal_nan=True)
+    want = by_time(P.CORR(d).where("c is not null"))
+    got = {r["t"]: r["out"] for r in P.QUERIES["det_panel"](spark, sf).collect()}
+    assert set(got) == set(want)
+    for t, m in want.items():
+        names = sorted({i for i, _ in m})
+        assert abs(got[t] - np.linalg.det(np.array([[1.0 if i == j else m.get((i, j), 0.0) for j in names] for i in names]))) < 2e-6

@@ -122,7 +122,8 @@ add_rows("min_eigenvalues", lambda d: matrices.min_eigenvalues(CORRELATIONS(d),
 add_rows("eigenvalues", lambda d: matrices.eigenvalues(CORRELATIONS(d), "t"), ["t", "k", "out"], None)
 add_rows("eigenvectors", lambda d: matrices.eigenvectors(CORRELATIONS(d), "t"), ["t", "k", "i", "out"], None)
 add_rows("det", lambda d: matrices.det(pairs.symmetric(CORR(d).where("i = 'click' and j = 'view' and c is not null"), unit_diagonal=True), "t"), ["t", "out"], f"WITH {UPPER} SELECT t, {_r('1 - c * c')} AS out FROM c WHERE i = 'click' AND j = 'view' AND c IS NOT NULL")
-add_rows("riskparity", lambda d: matrices.riskparity(COVARIANCES(d).where("hour(t) = 12"), "t"), ["t", "i", "w"], None)
+add_rows("det_panel", lambda d: matrices.det(pairs.symmetric(CORR(d).where("c is not null"), unit_diagonal=True), "t"), ["t", "out"], None)
+add_rows("riskparity", lambda d: matrices.riskparity(COVARIANCES(d), "t"), ["t", "i", "w"], None)
 QUERIES["near_correlation_matrix"] = lambda spark, _: X.near_correlation_matrix(spark, 0.9, 20).select("i", "j", rounded("c").alias("c"))
 SQL["near_correlation_matrix"] = f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {_r('pow(0.9, abs(i - j))')} AS c FROM range(20) a(i), range(20) b(j)"
 QUERIES["beta_correlation_matrix"] = lambda spark, d: X.beta_correlation_matrix(table(spark, d, "nation").withColumn("b", 1 / (1 + F.col("n_nationkey"))), "n_nationkey", "b").select("i", "j", rounded("c").alias("c"))
