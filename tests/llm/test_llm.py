@@ -335,6 +335,12 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_rare_telling_words():
+    bad = np.arange(400) % 4 == 0
+    words = [["common", *(["rare"] if i in (0, 40, 80, 120) else [])] for i in range(400)]
+    assert list(quality.telling_words(words, bad)) == ["rare"]
+
+
 def test_quality_on_held_out_rows(spark, sf):
     sf = sf.replace("0.001", "0.01")
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

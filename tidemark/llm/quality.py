@@ -33,6 +33,7 @@ PER_ROUND = 300
 SAMPLE_BYTES = 60_000
 KEEP = 0.5
 LEXICON = 400
+CHANCE = 0.004  # that a word of the lexicon is no more frequent in bad documents
 SLOTS = 32  # of the hashed source and language
 
 _MARKS = re.compile(r"[^\w\s]+")
@@ -117,15 +118,24 @@ class Model:
 
 
 def telling_words(words: list[list[str]], bad: np.ndarray, most: int = LEXICON) -> dict[str, int]:
-    """Words that bad documents hold more often than chance would have it (by 6 standard deviations)."""
+    """Words that bad documents hold more often than chance would have it: by the exact binomial probability of as many
+    bad documents or more among those that hold the word, at most CHANCE; 3 at least."""
     every, poor = Counter(), Counter()
     for ws, b in zip(words, bad):
         every.update(ws)
         if b:
             poor.update(ws)
     p = bad.mean()
-    scored = ((c - every[w] * p) / np.sqrt(every[w] * p * (1 - p)) for w, c in poor.items()) if 0 < p < 1 else ()
-    chosen = sorted(((-z, w) for z, (w, c) in zip(scored, poor.items()) if z > 6 and c >= 4))[:most]
+    if not 0 < p < 1:
+        return {}
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, len(bad) + 1)))])  # of factorials
+
+    def tail(c: int, n: int) -> float:
+        k = np.arange(c, n + 1)
+        return float(np.logaddexp.reduce(logs[n] - logs[k] - logs[n - k] + k * np.log(p) + (n - k) * np.log1p(-p)))
+
+    scored = ((tail(c, every[w]), w) for w, c in poor.items() if c >= 3 and c > every[w] * p)
+    chosen = sorted(x for x in scored if x[0] <= np.log(CHANCE))[:most]
     return {w: i for i, (_, w) in enumerate(chosen)}
 
 
