@@ -7,32 +7,38 @@
 2. Matching. The contents of one anchor are a reference shard of bounded size. In ascending order of document each is
    streamed through the suffix automaton of those before it; where the matching statistic reaches `window`, the state
    tells the smallest document that holds these words. Then the content is added to the automaton.
-3. Anchors with more than `shard` contents (a passage that stands in different surroundings in very many documents)
-   would make automata without bound: their windows are compared by hash, summed before they move.
+3. An anchor with more than `shard` contents (a passage that stands in different surroundings in very many documents)
+   would make an automaton of mostly unshared words. A sketch of fixed size, merged over all tasks, tells which windows
+   may stand twice; only those are summed, and what two documents really hold is the anchor's reference, as long as what
+   is shared, not as the number of documents. It goes to every block of the anchor's contents: each is streamed through
+   the suffix automaton of the reference, which decides by words.
 4. What is removed comes back to the texts, of which only those with a covered or open span are shuffled.
 
-The automata are not broadcast: shards of all documents have no size bound, and streaming every document through every
-shard is work in the square of the corpus. A shard's spans meet in the task of its anchor instead.
+The automata are not broadcast to all executors: shards of all documents have no size bound, and streaming every
+document through every shard is work in the square of the corpus. A shard goes to the tasks that hold spans of its
+anchor instead. Words are compared as 64-bit hashes; whole spans of one anchor by a hash of 64 bits beside the anchor's 64.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.folders import scratch
 from tidemark.llm.graph import BROADCAST_IDS, with_ids
 from tidemark.llm.kernels import U64, _tables, byte_words, gram_hashes, mix, slice_hashes, text_chunks, window_minima
-from tidemark.llm.token_files import shared_folder
 
 WINDOW = 50
 GRAM = 8
 SHARD = 200
+BLOCK = 500  # contents of an anchor that meet its reference in one unit of work
+SKETCH_BITS = 25
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -97,18 +103,21 @@ class SuffixAutomaton:
         return out
 
 
+def run_hashes(words: np.ndarray):
+    """A function of starts and ends: hashes of those runs of words, whatever stands around them."""
+    up, down = _tables(len(words))
+    total = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
+
+
 class Spans:
     """The words of a chunk of texts and their anchors' spans."""
 
     def __init__(self, data: bytes, offsets: np.ndarray, window: int, gram: int) -> None:
         raw, self.starts, self.ends, self.rows = byte_words(data, offsets, _WORD)
         self.words = slice_hashes(raw, self.starts, self.ends)
-        n = len(self.words)
-        up, down = _tables(n)
-        total = np.zeros(n + 1, U64)
-        np.cumsum(self.words * up[:n], out=total[1:])
-        hashed = lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
-        self.hashed = hashed
+        hashed = run_hashes(self.words)
         grams = gram_hashes(self.words, gram)
         at = window_minima(grams, window - gram + 1)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.rows))
@@ -140,7 +149,7 @@ def _scan(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _open_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Words of the spans whose content is in the text's list `open`; for those in `hot`, a hash of each window."""
+    """Words of the spans whose content is in the text's list `open` or `hot`, and whether in the latter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,20 +159,15 @@ def _open_spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 wanted = [[set(x or ()) for x in batch.column(c).slice(first, last - first).to_pylist()] for c in (2, 3)]
                 out, seen = [], set()
                 for row, anchor, content, a, b in zip(s.row.tolist(), s.anchor.tolist(), s.content.tolist(), s.a.tolist(), s.b.tolist()):
-                    if (row, anchor, content) in seen:
-                        continue
-                    seen.add((row, anchor, content))
-                    if content in wanted[1][row]:
-                        starts = np.arange(a, b - window + 1)
-                        h = s.hashed(starts, starts + window).view(np.int64)
-                        out.append((ids[row], anchor, content, None, h.tolist()))
-                    elif content in wanted[0][row]:
-                        out.append((ids[row], anchor, content, s.words[a:b].tobytes(), None))
+                    hot = content in wanted[1][row]
+                    if (hot or content in wanted[0][row]) and (row, anchor, content) not in seen:
+                        seen.add((row, anchor, content))
+                        out.append((ids[row], anchor, content, s.words[a:b].tobytes(), hot))
                 columns = list(zip(*out)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "anchor", "content", "words", "windows"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "anchor", "content", "words", "hot"])
 
-    return docs.select("id", "text", "open", "hot").mapInArrow(run, "id long, anchor long, content long, words binary, windows array<long>")
+    return docs.select("id", "text", "open", "hot").mapInArrow(run, "id long, anchor long, content long, words binary, hot boolean")
 
 
 def _matched(spans: DataFrame, window: int) -> DataFrame:
@@ -194,50 +198,180 @@ def _matched(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("id", "anchor", "content", "words").mapInArrow(run, "id long, content long, starts array<int>")
 
 
-def _hot_windows(spans: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(id, content, starts) of windows that a smaller document holds, by hash. Tasks sum their windows before any is
-    shuffled; the shared ones come back as a broadcast table up to `broadcast_rows`, else by a join."""
+class Sketch:
+    """Which of 2^bits slots one hash, and which two hashes or more have fallen in: two bits a slot, whatever the input."""
+
+    def __init__(self, once: bytes | None = None, twice: bytes | None = None) -> None:
+        unpack = lambda x: np.zeros(1 << SKETCH_BITS >> 3, np.uint8) if x is None else np.frombuffer(bytearray(zstandard.decompress(x)), np.uint8)
+        self.once, self.twice = unpack(once), unpack(twice)
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return tuple(zstandard.compress(x.tobytes(), 1) for x in (self.once, self.twice))
+
+    @staticmethod
+    def _get(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        return bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 > 0
+
+    @staticmethod
+    def _set(bits: np.ndarray, slots: np.ndarray) -> None:
+        """Slots in ascending order."""
+        if len(slots):
+            at = slots >> 3
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            bits[at[first]] |= np.bitwise_or.reduceat(np.uint8(1) << (slots & 7).astype(np.uint8), first)
+
+    def add(self, hashes: np.ndarray) -> None:
+        slots, n = np.unique((hashes >> U64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+        self._set(self.twice, slots[(n > 1) | self._get(self.once, slots)])
+        self._set(self.once, slots)
+
+    def merge(self, other: Sketch) -> None:
+        self.twice |= other.twice | self.once & other.once
+        self.once |= other.once
+
+    def twofold(self, hashes: np.ndarray) -> np.ndarray:
+        return self._get(self.twice, (hashes >> U64(64 - SKETCH_BITS)).astype(np.int64))
+
+
+def _windows(words: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all words of these spans, hash of each window, its span, its start in the words)."""
+    raw = [np.frombuffer(x, U64) for x in words.to_pylist()]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    flat = np.concatenate(raw) if raw else np.zeros(0, U64)
+    span = np.repeat(np.arange(len(raw)), sizes - window + 1)
+    begin = np.cumsum(sizes) - sizes
+    n = np.cumsum(sizes - window + 1)
+    start = begin[span] + np.arange(len(span)) - (n - sizes + window - 1)[span]
+    return flat, run_hashes(flat)(start, start + window), span, start
+
+
+def _sketched(spans: DataFrame, window: int) -> Sketch:
+    """Of the windows of all spans. Each task hands on one sketch, merged in groups and then in one task."""
+
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        sketch, rows = Sketch(), 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                sketch.add(_windows(batch.column(0).slice(i, 5000), window)[1])
+            rows += batch.num_rows
+        if rows:
+            yield row(TaskContext.get().partitionId(), sketch)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = Sketch(*(batch.column(c)[i].as_py() for c in (1, 2)))
+                if whole is None:
+                    whole = part
+                else:
+                    whole.merge(part)
+        if whole is not None:
+            yield row(0, whole)
+
+    def row(part: int, sketch: Sketch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in sketch.packed())], ["part", "once", "twice"])
+
+    schema = "part int, once binary, twice binary"
+    each = spans.select("words").mapInArrow(of_task, schema)
+    groups = max(1, int(spans.rdd.getNumPartitions() ** 0.5))
+    one = each.repartition(groups).mapInArrow(merged, schema).repartition(1).mapInArrow(merged, schema).collect()
+    return Sketch(one[0]["once"], one[0]["twice"]) if one else Sketch()
+
+
+def _reference(spans: DataFrame, sketch, window: int) -> DataFrame:
+    """anchor, low, words: runs of words whose windows two documents hold, from the smallest of those documents. Only windows
+    that the sketch has twice are summed, in each task before any is shuffled."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        known: dict[int, list] = {}
 
         def flush():
-            h, ids = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
-            o = np.lexsort((ids, h))
-            h, ids = h[o], ids[o]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            last = np.concatenate([first[1:], [len(h)]])[: len(first)] - 1
-            return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(ids[first]), pa.array(ids[last])], ["h", "low", "high"])
+            rows = [(h, *x) for h, x in known.items()]
+            known.clear()
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 7, kinds)], ["h", "high", "anchor", "low", "content", "at", "words"])
 
         for batch in batches:
-            lists = batch.column(2)
-            held.append((lists.flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                yield flush()
-                held, size = [], 0
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                ids, anchors, contents = (part.column(c).to_pylist() for c in range(3))
+                flat, hashes, span, start = _windows(part.column(3), window)
+                begin = np.searchsorted(span, np.arange(part.num_rows))
+                for j in np.flatnonzero(sketch.value.twofold(hashes)).tolist():
+                    h, s = int(hashes[j].view(np.int64)), int(span[j])
+                    x = known.get(h)
+                    high = ids[s] if x is None else max(x[0], ids[s])
+                    if x is None or ids[s] < x[2]:
+                        known[h] = [high, anchors[s], ids[s], contents[s], j - int(begin[s]), flat[start[j] : start[j] + window].tobytes()]
+                    else:
+                        x[0] = high
+                if len(known) > 50_000:
+                    yield flush()
         yield flush()
 
-    low = spans.mapInArrow(sums, "h long, low long, high long").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("h", "low").checkpoint()
-    if low.count() > broadcast_rows:
-        rows = spans.select("id", "content", F.posexplode("windows").alias("start", "h")).join(low, "h").where("id > low")
-        return rows.groupBy("id", "content").agg(F.collect_set("start").alias("starts"))
-    known = low.toPandas().sort_values("h")
-    table = spans.sparkSession.sparkContext.broadcast((known["h"].to_numpy(np.int64), known["low"].to_numpy(np.int64)))
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            for anchor, low, content, at, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (anchor, low, content, at - 1):
+                    if held:
+                        out.append((*now[:2], b"".join(held)))
+                    held = [words]
+                else:
+                    held.append(words[-8:])
+                now = anchor, low, content, at
+        if held:
+            out.append((*now[:2], b"".join(held)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.binary()))], ["anchor", "low", "words"])
+
+    summed = spans.select("id", "anchor", "content", "words").mapInArrow(sums, "h long, high long, anchor long, low long, content long, at int, words binary")
+    shared = summed.groupBy("h").agg(F.max("high").alias("high"), F.min(F.struct("low", "anchor", "content", "at", "words")).alias("x")).where("x.low < high").select("x.*")
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = shared.select("anchor", "low", "content", "at", "words").repartition(parts, "anchor", "content").sortWithinPartitions("anchor", "low", "content", "at")
+    return placed.mapInArrow(runs, "anchor long, low long, words binary")
+
+
+def _hot_matched(spans: DataFrame, window: int, block: int) -> DataFrame:
+    """(id, content, starts) of windows that a smaller document holds, for anchors of many contents."""
+    context = spans.sparkSession.sparkContext
+    sketch = context.broadcast(_sketched(spans, window))  # of a fixed size
+    reference = _reference(spans, sketch, window).checkpoint()
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5000):
+                part = batch.slice(i, 5000)
+                _, hashes, span, _ = _windows(part.column(3), window)
+                keep = np.zeros(part.num_rows, bool)
+                keep[span[sketch.value.twofold(hashes)]] = True
+                yield part.filter(pa.array(keep))
+
+    # blocks of an anchor's contents; its reference goes to each
+    likely = spans.select("id", "anchor", "content", "words").mapInArrow(some, "id long, anchor long, content long, words binary")
+    blocks = likely.groupBy("anchor").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    mine = likely.join(blocks, "anchor").select("anchor", F.pmod(F.xxhash64("content"), "blocks").alias("block"), F.lit(1).alias("kind"), "id", "content", "words")
+    given = reference.join(blocks, "anchor").select("anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("low").alias("id"), F.lit(None).cast("long").alias("content"), "words")
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = given.unionByName(mine).repartition(parts, "anchor", "block").sortWithinPartitions("anchor", "block", "kind", "id")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, lows = table.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, automaton = None, None
         for batch in batches:
-            starts = []
-            for doc, windows in zip(batch.column(0).to_pylist(), batch.column(2)):
-                h = windows.values.to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                starts.append(np.flatnonzero((keys[at] == h) & (lows[at] < doc)) if len(keys) else np.zeros(0, np.int64))
-            keep = pa.array([len(x) > 0 for x in starts], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype(np.int32) for x in starts], pa.list_(pa.int32()))], ["id", "content", "starts"])
-            yield out.filter(keep)
+            out = []
+            for anchor, b, kind, doc, content, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                words = np.frombuffer(raw, np.int64).tolist()
+                if now != (anchor, b):
+                    now, automaton = (anchor, b), SuffixAutomaton()
+                if not kind:
+                    automaton.add(words, doc)
+                elif starts := automaton.covered(words, doc, window):
+                    out.append((doc, content, starts))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["id", "content", "starts"])
 
-    return spans.mapInArrow(find, "id long, content long, starts array<int>")
+    return units.mapInArrow(run, "id long, content long, starts array<int>")
 
 
 def _kept(docs: DataFrame, window: int, gram: int, listed: bool) -> DataFrame:
@@ -276,7 +410,7 @@ def _kept(docs: DataFrame, window: int, gram: int, listed: bool) -> DataFrame:
 
 def remove_repeats(
     documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard: int = SHARD,
-    folder: str | None = None, broadcast_ids: int = BROADCAST_IDS,
+    block: int = BLOCK, folder: str | None = None, broadcast_ids: int = BROADCAST_IDS,
 ) -> DataFrame:
     """One row per row of `documents`: id, n_words, n_removed, kept.
 
@@ -285,7 +419,7 @@ def remove_repeats(
     keep all. Other columns are ignored whatever their names.
     """
     spark = documents.sparkSession
-    base = f"{folder or shared_folder(spark, '/tmp/tidemark')}/repeats-{uuid.uuid4().hex}"
+    base = folder or scratch(spark, "repeats")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")
@@ -308,9 +442,9 @@ def remove_repeats(
     looked = with_ids(docs, lists.where("size(open) + size(hot) > 0").select("id"), "id", "left_semi", broadcast_ids)
     open_spans = written(_open_spans(looked.join(lists, "id"), window, gram), "open")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sharded = open_spans.where("words is not null").repartition(parts, "anchor").sortWithinPartitions("anchor", "id")
+    sharded = open_spans.where("not hot").repartition(parts, "anchor").sortWithinPartitions("anchor", "id")
     found = _matched(sharded, window)
-    hot = _hot_windows(open_spans.where("words is null").select("id", "content", "windows"), broadcast_ids)
+    hot = _hot_matched(open_spans.where("hot"), window, block)
     some = found.unionByName(hot).groupBy("id").agg(F.collect_list(F.struct("content", "starts")).alias("some"))
     marked = lists.select("id", "whole").join(some, "id", "left").select("id", "whole", "some")
     out = _kept(touched.join(marked, "id").select("id", "text", "whole", "some"), window, gram, True)
