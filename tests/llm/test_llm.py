@@ -278,9 +278,40 @@ def test_near_duplicates_of_a_star(spark, block):
     assert {r["doc_id"]: r["n_links"] for r in rows} == {i: sum(i in p for p in want) for i in range(len(texts))}
 
 
-def test_prefix_length():
+def test_prefix_length(spark):
     assert neardup.prefix_length(0.8, 16, 8, 0.998) == 5
     assert neardup.prefix_length(0.1, 1, 8, 0.999) == 1
+    near = spark.createDataFrame([(1.0,)] * 9 + [(0.99,)], "similarity double")
+    far = spark.createDataFrame([(0.8,)] * 10, "similarity double")
+    assert neardup.estimated_recall(near, 8, 16) > 0.9999 > 0.95 > neardup.estimated_recall(far, 8, 16)
+    assert neardup.estimated_recall(far, 5, 16) == pytest.approx(neardup.found_with(0.8, 5, 16)) and neardup.estimated_recall(far.limit(0), 8, 16) == 0
+
+
+@pytest.mark.parametrize("copies,edits", [(250, 8), (5000, 8)])
+def test_near_duplicates_of_one_text(spark, copies, edits):
+    """One group of copies with 1 to `edits` words changed, all pairs against brute force."""
+    rng = random.Random(17)
+    base = prose(rng, 400)
+    texts = list(dict.fromkeys(edited(rng, base, 1 + i % edits) for i in range(copies)))
+    words = [t.split() for t in texts]
+    plain = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    number = {g: i for i, g in enumerate(set().union(*plain))}
+    sets = [np.sort([number[g] for g in x]) for x in plain]
+    s = np.concatenate([neardup.similarities(sets[i : i + 500], sets) for i in range(0, len(sets), 500)])
+    for _ in range(3000):
+        i, j = rng.randrange(len(sets)), rng.randrange(len(sets))
+        assert s[i, j] == pytest.approx(len(plain[i] & plain[j]) / len(plain[i] | plain[j]))
+    linked = (s >= 0.8) & ~np.eye(len(sets), dtype=bool)
+    want = {}
+    for i in range(len(sets)):
+        todo = [] if i in want else [i]
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = i
+                todo += np.flatnonzero(linked[j]).tolist()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.near_duplicates(docs(spark, texts))[0].collect()}
+    assert got == {i: (want[i], int(linked[i].sum())) for i in range(len(sets))}
 
 
 # --- repeats ----------------------------------------------------------------------------------------------------------

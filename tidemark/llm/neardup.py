@@ -1,13 +1,14 @@
 """Join of near-duplicate texts: Jaccard similarity of word 5-grams, by a MinHash LSH forest with exact verification.
 
 A document's signature is `trees` sequences of least hashes. A tree of the forest is the sorted list of one sequence of
-every document, a prefix trie in the order of its leaves: documents that share a prefix stand together. The length at
-which documents count as candidates starts at the full sequence and is shortened until a pair at the threshold shares a
-prefix in some tree with probability `recall` (prefix_length); that length is a constant of the parameters. All pairs of
-a run, the documents that share a prefix, are candidates, whatever the length of the run.
-
-Pairs of runs up to `all_pairs` documents are rows. Longer runs are large groups of near copies, whose pairs would be too
-many rows: runs that share documents are one group, and a group is dealt in blocks. Each two blocks are one unit of work,
+every document, a prefix trie in the order of its leaves: documents that share a prefix stand together, in a run. Matching
+begins with the full sequences. After each length the pairs that share a prefix are verified, and the links found say what
+share of all links that length finds: a link of similarity s is found with probability 1 - (1 - s^length)^trees, so it
+stands for one over that. The prefix is shortened by one until the estimate reaches `recall`, or until a pair at the very
+threshold is found with that probability, whatever has been found.
+
+Pairs of runs up to `all_pairs` documents are rows, at most trees * (all_pairs - 1) for a document. Longer runs are large groups of near copies, whose pairs would be too
+many rows: at the last length, runs that share documents are one group, and a group is dealt in blocks. Each two blocks are one unit of work,
 which compares all their pairs by the full shingle sets and hands on how many links each document has and a spanning
 forest of them. The work grows with the square of a group, the rows with the number of its blocks. Copies of one text are
 one entry. Every candidate pair is verified on the texts' full shingle sets.
@@ -24,15 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.folders import shared_folder
 from tidemark.llm.graph import BROADCAST_IDS, components, with_ids
 from tidemark.llm.kernels import U64, byte_words, gram_hashes, mix, slice_hashes, text_chunks
-from tidemark.llm.token_files import shared_folder
 
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
-RECALL = 0.998
+RECALL = 0.9995
+VALUE = 4  # bytes that are kept of each least hash
 ALL_PAIRS = 32
 BLOCK = 400  # texts of a block on average
 BLOCK_BYTES = 1 << 23  # of their shingle hashes
@@ -41,9 +43,21 @@ _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
+def found_with(similarity, length: int, trees: int):
+    """Probability that a pair meets in some tree at this prefix length."""
+    return 1 - (1 - similarity**length) ** trees
+
+
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix at which a pair at the threshold meets in some tree with probability `recall`; 1 at least."""
-    return next((k for k in range(depth, 0, -1) if 1 - (1 - threshold**k) ** trees >= recall), 1)
+    return next((k for k in range(depth, 0, -1) if found_with(threshold, k, trees) >= recall), 1)
+
+
+def estimated_recall(links: DataFrame, length: int, trees: int) -> float:
+    """Share of all links that this length finds, by the similarities of those found; 0 without any."""
+    p = found_with(F.greatest(F.least("similarity", F.lit(1.0)), F.lit(1e-3)), length, trees)
+    n, whole = links.agg(F.count("*"), F.sum(1 / p)).first()
+    return n / whole if n else 0.0
 
 
 def shingles(data: bytes, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,51 +89,51 @@ def signatures(hashes: np.ndarray, index: np.ndarray, trees: int, depth: int) ->
     return out
 
 
-def _signed(docs: DataFrame, k: int, trees: int, prefix: int) -> DataFrame:
-    """id, key (of the text), and for each tree the hash of the prefix; none without words."""
+def _signed(docs: DataFrame, k: int, trees: int, depth: int) -> DataFrame:
+    """id, key (of the text), and its sequences one after the other, VALUE bytes for each least hash; null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 hashes, index = shingles(data, offsets, k)
-                s = signatures(hashes, index, trees, prefix).reshape(-1, trees, prefix)
-                head = np.zeros(s.shape[:2], U64)
-                for j in range(prefix):
-                    head = mix(head * U64(31) + s[:, :, j])
-                has = np.diff(index) > 0
-                at = np.concatenate([[0], np.cumsum(has * trees)]).astype(np.int32)
-                heads = pa.ListArray.from_arrays(pa.array(at), pa.array(head.ravel().view(np.int64)))
+                raw = (mix(signatures(hashes, index, trees, depth)) >> U64(64 - 8 * VALUE)).astype(f"<u{VALUE}")
+                rows = iter(raw)
+                sequences = [next(rows).tobytes() if n else None for n in np.diff(index).tolist()]
                 o = offsets.tolist()
                 keys = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(o, o[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(keys, pa.binary()), heads], ["id", "key", "heads"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(keys, pa.binary()), pa.array(sequences, pa.binary())], ["id", "key", "sequences"])
+
+    return docs.mapInArrow(run, "id long, key binary, sequences binary")
 
-    return docs.mapInArrow(run, "id long, key binary, heads array<long>")
+
+def _runs(firsts: DataFrame, length: int, trees: int, depth: int) -> DataFrame:
+    """head, id, n, least: every document of every run of two or more at this prefix length, the run's size and its
+    smallest id. A prefix that one document has goes before anything is sorted."""
+    head = lambda t: F.xxhash64(t, F.substr("sequences", t * (VALUE * depth) + 1, F.lit(VALUE * length)))
+    forest = firsts.where("sequences is not null").select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), head)).alias("head"))
+    return forest.join(forest.groupBy("head").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "head").select("head", "id", "n", "least")
 
 
 def _short_pairs(runs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each run of one (tree, head), whose rows stand together, but those of one large group."""
+    """Pairs (a, b) of each run, whose rows stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         now, members = None, []
 
-        def close():
-            out.extend((x, y) for j, (y, h) in enumerate(members) for x, g in members[:j] if h is None or g != h)
-
         def flush():
             a, b = zip(*out) if out else ((), ())
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for tree, head, doc, group in zip(*(c.to_pylist() for c in batch.columns)):
-                if (tree, head) != now:
-                    close()
-                    now, members = (tree, head), []
-                members.append((doc, group))
+            for head, doc in zip(*(c.to_pylist() for c in batch.columns)):
+                if head != now:
+                    now, members = head, []
+                out.extend((x, doc) for x in members if x != doc)
+                members.append(doc)
                 if len(out) > 20_000:
                     yield flush()
-        close()
         yield flush()
 
     return runs.mapInArrow(run, "a long, b long")
@@ -278,21 +292,27 @@ def near_duplicates(
 
     A null text is an empty one; texts without words are classed by being equal only. Rows of one id are one document.
     """
-    shared_folder(documents.sparkSession, "/tmp/tidemark")  # for checkpoints
+    shared_folder(documents.sparkSession)  # for checkpoints
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = _signed(docs, shingle, trees, prefix_length(threshold, trees, depth, recall)).checkpoint()
-    texts = signed.groupBy("key").agg(F.min("id").alias("copy_of"), F.count("*").alias("n_copies"))
-    firsts = signed.join(texts, [signed["key"] == texts["key"], signed["id"] == texts["copy_of"]], "left_semi").dropDuplicates(["key"])
-    forest = firsts.select("id", F.posexplode("heads").alias("tree", "head")).select("tree", "head", "id")
-    # a prefix that one document has is no run: most go here, before anything is sorted
-    shared = forest.groupBy("tree", "head").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    forest = forest.join(shared, ["tree", "head"]).select("tree", "head", "id", "n", "least").checkpoint()
+    signed = _signed(docs, shingle, trees, depth).checkpoint()
+    # copies are summed in each task, however many one text has
+    texts = signed.groupBy("key").agg(F.min("id").alias("copy_of"), F.count("*").alias("n_copies"), F.min_by("sequences", "id").alias("sequences")).checkpoint()
+    firsts, texts = texts.select(F.col("copy_of").alias("id"), "sequences"), texts.drop("sequences")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = components(forest.where((F.col("n") > all_pairs) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))).checkpoint()
-    short = forest.where(F.col("n") <= all_pairs).join(groups, "id", "left").select("tree", "head", "id", "component")
-    pairs = _short_pairs(short.repartition(parts, "tree", "head").sortWithinPartitions("tree", "head", "id")).where("a <> b").distinct().checkpoint()
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
+    seen = few = None
+    for length in range(depth, 0, -1):
+        runs = _runs(firsts, length, trees, depth).checkpoint()
+        pairs = _short_pairs(runs.where(F.col("n") <= all_pairs).select("head", "id").repartition(parts, "head").sortWithinPartitions("head", "id")).distinct()
+        pairs = (pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        new = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
+        seen, few = (new_ if old is None else old.unionByName(new_) for old, new_ in ((seen, pairs), (few, new)))
+        if length <= prefix_length(threshold, trees, depth, recall) or estimated_recall(few, length, trees) >= recall:
+            break
+    groups = components(runs.where((F.col("n") > all_pairs) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))).checkpoint()
+    # pairs of one group are compared there
+    few = few.join(groups.select(F.col("id").alias("a"), F.col("component").alias("_a")), "a", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("_b")), "b", "left")
+    few = few.where("_a is null or _b is null or _a <> _b").select("a", "b", "similarity").checkpoint()
     sets = _shingle_sets(with_ids(docs, groups.select("id"), "id", "left_semi", broadcast_ids), shingle).where("length(set) > 0").checkpoint()
     units = _units(sets, groups, parts, block, BLOCK_BYTES)
     dense = _compared(units, threshold, False).checkpoint()
