@@ -68,6 +68,27 @@ def test_byte_bpe_equals_library():
     assert at == len(texts)
 
 
+def test_every_code_point():
+    """Classes of all code points are the libraries' own, whatever Python's Unicode version is."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library, codec = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Codec(path)
+    counter, tokenizer = bpe.Counter(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (not 0x40000 <= c < 0xE0000 or c % 0x10000 < 64)]  # planes 4 to 13 hold nothing
+    forms = ["a{0}7a", "1{0}1 {0}", "!{0}! {0}b", "{0}{0} {0}"]
+    for i in range(0, len(points), 4096):
+        texts = [" ~ ".join(f.format(chr(c)) for f in forms) for c in points[i : i + 4096]]
+        for _, _, data, offsets in kernels.text_chunks(pa.array(texts)):
+            ids, index = codec.encode(data, offsets)
+            got = [ids[x:y].tolist() for x, y in zip(index, index[1:])]
+            assert counter.count(data, offsets).tolist() == [len(e.ids) for e in tokenizer.encode_batch_fast(texts[: len(got)], add_special_tokens=False)]
+            assert got == library.encode_ordinary_batch(texts[: len(got)], num_threads=2)
+            texts = texts[len(got) :]
+
+
 def test_counts_equal_library(spark):
     from tokenizers import Tokenizer
 

@@ -140,7 +140,7 @@ class Counter:
 
     def count(self, data: bytes, offsets: np.ndarray) -> np.ndarray:
         where, row, special = _segments(data, offsets, self.table.special)
-        begin, first = boundaries(data, where)
+        begin, first = boundaries(data, where, "tokenizers")
         tokens = slices(data, begin)
         distinct = set(tokens)
         new = distinct.difference(self.known)

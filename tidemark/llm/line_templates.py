@@ -14,7 +14,6 @@ come back to the texts: as a broadcast table while there are at most `broadcast_
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.token_files import shared_folder
+from tidemark.llm.folders import scratch
 
 MIN_DOCS = 10
 DEPTH = 3
@@ -123,7 +122,7 @@ def recurring(
     """line (hash of the masked line), template, first (smallest id), n_docs: every line of every recurring template. In
     n_docs, documents with several forms of a template count once for each form that is frequent by itself."""
     spark = docs.sparkSession
-    base = f"{folder or shared_folder(spark, '/tmp/tidemark')}/lines-{uuid.uuid4().hex}"
+    base = folder or scratch(spark, "lines")
 
     def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{base}/{name}")

@@ -11,7 +11,6 @@ numbers by a composition table gives every state: within blocks for all blocks a
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import numpy as np
 
@@ -22,9 +21,6 @@ OPENS = 8  # added to a text's first symbol
 START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, ONE_MORE, TWO_MORE, ENDED = range(9)
 BLOCK = 128
 
-# The code points of the White_Space property.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
     """(next state, whether a pre-token starts at this code point)."""
@@ -85,15 +81,25 @@ def _scan(f: np.ndarray, table: np.ndarray, identity: int) -> np.ndarray:
 
 
 @functools.cache
-def _classes() -> np.ndarray:
-    """Class of every code point: LETTER, NUMBER, OTHER or SPACES."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-    out[WHITE] = SPACES
+def classes(library: str = "tiktoken") -> np.ndarray:
+    """Class of every code point (LETTER, NUMBER, OTHER or SPACES), as the regular expressions of "tiktoken" or "tokenizers"
+    take it: their Unicode version is theirs, not Python's. The library is asked once for all code points."""
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, inside, outside in ((LETTER, r"\p{L}", r"\P{L}+"), (NUMBER, r"\p{N}", r"\P{N}+"), (SPACES, r"\s", r"\S+")):
+        if library == "tiktoken":
+            import tiktoken
+
+            found = bytes(tiktoken.Encoding(library, pat_str=inside, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(text)).decode()
+        else:
+            from tokenizers import Regex, normalizers
+
+            found = normalizers.Replace(Regex(outside), "").normalize_str(text)
+        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 
-def boundaries(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def boundaries(data: bytes, offsets: np.ndarray, library: str = "tiktoken") -> tuple[np.ndarray, np.ndarray]:
     """Byte places where pre-tokens start, and for each text the index of its first (one entry more at the end)."""
     points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(points)
@@ -106,7 +112,7 @@ def boundaries(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.cumsum(1 + (points >= 0x80) + (points >= 0x800).astype(np.int8) + (points >= 0x10000), out=at[1:])
     first = np.zeros(n + 1, bool)
     first[np.searchsorted(at, offsets)] = True
-    kind = _classes()[points]
+    kind = classes(library)[points]
     white = kind == SPACES
     symbols = kind.copy()
     # white space before something else

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import _held, byte_letters
@@ -167,17 +167,6 @@ class TokenFile:
         return np.frombuffer(data, f"<u{width}")
 
 
-def shared_folder(spark: SparkSession, default: str | None = None) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; `default` only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or default
-    if not folder:
-        raise ValueError("spark.checkpoint.dir is not set")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def write_tokens(
     documents: DataFrame, path: str, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1,
     rows_per_file: int = ROWS_PER_FILE, level: int = 1,
