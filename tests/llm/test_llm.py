@@ -385,6 +385,51 @@ def test_pages(spark):
         assert out[i]["n_chars"] == len(out[i]["text"]) and out[i]["url"] == f"u{i}"
     assert [out[i]["text"] for i in (20, 21, 22)] == ["", "", "only words"]
     assert html_text.extract(df.limit(0)).count() == 0
+    twice = df.where("page_id < 3").union(df.where("page_id < 2").withColumn("html", F.lit(None).cast("string"))).withColumn("text", F.lit(1))
+    assert sorted((r["page_id"], r["text"] != "") for r in html_text.extract(twice).collect()) == [(0, False), (0, True), (1, False), (1, True), (2, True)]
+
+
+def test_pages_as_authors_write_them():
+    weights = html_text.learn([PAGE.format(i) for i in range(20)])
+    text = lambda inside, after="": html_text.main_text(f"<html><body><nav>a b</nav><article><h1>Head</h1><p>One two three four five.{inside}<p>Six seven eight.</article>{after}<footer>c d</footer></body></html>", weights)
+    whole = "Head One two three four five. Six seven eight."
+    assert text("") == whole
+    assert text("<p class='share'>Tell your friends") == whole
+    assert text("<ul class=comments><li>First!<li>Second <b>one</ul>") == whole
+    assert text("", "<section id='comments'><p class=comment>Great read of the whole long text I think<p>Me too and more and more words</section>") == whole
+    assert text("<div class='ad-box'>buy <div>now</div> here</div>") == whole
+    assert text("<div class='related-work'><p>Others did so.</div>") == "Head One two three four five. Others did so. Six seven eight."
+    assert text("<h2 id='comments'>On comments</h2>") == "Head One two three four five. On comments Six seven eight."
+    assert text("<div class='sidebar'>never closed") == "Head One two three four five. never closed Six seven eight."
+    assert text("<a title='1 > 0'>link</a>") == "Head One two three four five.link Six seven eight."
+    assert html_text.main_text("<body><p>one two three four<div class=sidebar>five six", weights) == "one two three four five six"
+    assert html_text.main_text("<table><tr><td class=ad>x<td>one two<tr><td>three four</table>", weights) == "one two three four"
+    assert [html_text.says_aside(x) for x in ("sidebar", "acme-sidebar", "ads", "ad_300x250", "social-history", "share-price", "commentary", "adventure", "site-footer")] == [True] * 4 + [False] * 4 + [True]
+
+
+def test_names_of_labelled_pages():
+    w = html_text.learn([f"<body><div class='zone7 row'>x y z {i}</div><article><div class='row'>a b c d</div></article></body>" for i in range(9)])
+    assert w.outside == {"zone7"}
+    assert html_text.main_text("<div class=zone7>one two three</div><div class=other>four five six</div>", html_text.Weights(outside={"zone7"})) == "four five six"
+
+
+@pytest.mark.parametrize("unit", ['<a b="', "<a b='>\"", "<p class=share>", "<div>", "</span>", "<!--", "<p><button><div>", "<script>", "<ul><li>", "&#", '<a b=">" ', "<", "<a", "<!"])
+def test_malformed_pages_in_linear_time(unit):
+    import time
+
+    weights = html_text.Weights()
+    began = time.process_time()
+    html_text.main_text("word " + unit * ((1 << 20) // len(unit)), weights)
+    assert time.process_time() - began < 8
+
+
+def test_best_region():
+    rng = random.Random(23)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, 0.5, 1.0, 2.0]) for _ in range(rng.randrange(14))]
+        i, j = html_text.best_region(scores)
+        best = max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+        assert sum(scores[i:j]) == best
 
 
 def test_rare_telling_words():
