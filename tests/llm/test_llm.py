@@ -201,13 +201,14 @@ def test_footers_of_mostly_fields(spark):
 # --- search -----------------------------------------------------------------------------------------------------------
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block,round_bytes,head_bytes", [(64, 1 << 20, 1 << 20), (7, 2000, 0)])
+def test_top_k(spark, block, round_bytes, head_bytes):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 1, (300, 6)).round(2)
     x[::9] = x[0]
     rows = [(int(i), v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1010, [1.0, None, 0.0]), (1020, [float("nan")] * 6), (1030, [1.0, 2.0]), (1040, []), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
-    out = topk.top_k(df, F.col("vec_id") % 50 == 0, block=64, query_block=3)
+    out = topk.top_k(df, F.col("vec_id") % 50 == 0, block=block, round_bytes=round_bytes, head_bytes=head_bytes)
     codes = np.floor(256 * x).astype(int)
     want = set()
     for q in range(0, 300, 50):
@@ -217,6 +218,24 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_repeated_and_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [-1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1e300, 0.0]), (4, [-1e300, 1.0]), (5, [2.0**40, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=3, block=2).collect())
+    n, far = 256 * 256, 1 << 62
+    ups = [(0, 1, 3, (1 << 63) - 1), (0, 2, 5, 3 * 2**56), (0, 3, 1, 3 * n)]
+    downs = [(0, 1, 4, (1 << 63) - 1), (0, 2, 2, 0), (0, 3, 2, 0)]
+    assert got == sorted(ups + downs) and far > 0
+
+
+def test_blocks_that_no_query_needs():
+    rng = np.random.default_rng(1)
+    long, short = rng.integers(-500, 500, (50, 8)), rng.integers(-2, 3, (900, 8))
+    search = topk.Search(np.arange(3) + 5000, long[:3] + 1, None, 5)
+    search.take(np.arange(50), long)
+    assert not len(search.alive(topk._lengths(short).max()))
+
+
 # --- near duplicates --------------------------------------------------------------------------------------------------
 
 
