@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, graph, html_text, kernels, line_templates, neardup, pretokens, quality, substrings, token_files, topk
@@ -128,17 +129,38 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
     assert [r["doc_id"] for r in token_files.read_tokens(manifest, [3]).collect()] == [3]
     uri = manifest.orderBy("file").first()["uri"].removeprefix("file://")
-    raw = bytearray(open(uri, "rb").read())
-    raw[6] ^= 255
+    raw = open(uri, "rb").read()
+    source = token_files.TokenFile(uri)
+    first, n = int(source.sizes[0, 0]), len(source.sizes)
+    for place, error, message in ((first - 1, zstandard.ZstdError, "checksum"), (len(raw) - 9 - 12 * n + 8, ValueError, "checksum differs"), (len(raw) - 1, ValueError, "no seek table")):
+        broken = bytearray(raw)
+        broken[place] ^= 255  # the frame's own checksum, that of the seek table, its last byte
+        open(uri, "wb").write(broken)
+        with pytest.raises(error, match=message):
+            token_files.TokenFile(uri).tokens(0, 2)
     open(uri, "wb").write(raw)
-    with pytest.raises(Exception):
-        source = token_files.TokenFile(uri)
-        source.tokens(0, 2)
+    assert len(token_files.TokenFile(uri).tokens(0, 2)) == 1
     assert token_files.read_tokens(token_files.write_tokens(docs(spark, []), path, f"file://{tmp_path}")).count() == 0
     twice = token_files.read_tokens(token_files.write_tokens(docs(spark, ["a", "b", None], [5, 5, 1]), path, f"file://{tmp_path}"))
     assert sorted(r["start"] for r in twice.collect()) == [0, 1, 3]
 
 
+def test_files_of_a_range_follow_each_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_RANGES", 2)
+    texts = [f"word {i} and more" for i in range(100)]
+    manifest = token_files.write_tokens(docs(spark, texts).withColumn("id", F.lit("x")), P.path("word_bpe_49k.json"), f"file://{tmp_path}", rows_per_file=7)
+    assert manifest.count() > 10
+    rows = token_files.read_tokens(manifest).orderBy("doc_id").collect()
+    assert [r["doc_id"] for r in rows] == list(range(100))
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+
+
+def test_special_strings_without_a_common_prefix():
+    encoder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    encoder.special = ["[A]", "<B>"]
+    assert encoder.words("x [A] Y") == ["x", "[A]", "Y"] and encoder.words("X Y") == ["x", "y"]
+
+
 # --- decontamination --------------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,9 @@ content checksum); a skippable frame with each document's id; a skippable frame
 published seekable format (compressed size, size, xxh64 checksum of every frame, then the number of frames). A reader
 takes the end of the file, then only the frames it wants; each is verified before use.
 
-Writing: bounds of document ids come from the id column alone; documents are encoded, and only their compressed frames
-are shuffled, by range of id, each range being one file. A task that runs twice writes two files of different names; the
-manifest, a table that Spark commits, names only those whose task succeeded, and readers go by the manifest.
+Writing: documents are dealt by range of id, at most MOST_RANGES ranges; each task encodes its range in order and begins a
+new file every `rows_per_file` documents. A task that runs twice writes two files of different names; the manifest, a
+table that Spark commits, names only those whose task succeeded, and readers go by the manifest.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ SEEKABLE = 0x8F92EAB1
 
 CACHE = 1_000_000
 ROWS_PER_FILE = 10_000
+MOST_RANGES = 20_000
 _STOP = re.compile(r"[a-z0-9À-ÖØ-öø-ÿ][.,]\Z")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -60,8 +62,8 @@ class Encoder:
         self.mark = self.whole(MARK)
         fine = len(self.mark) == 1 and self.whole(f"a {MARK} b {MARK}") == [*probe[1], *self.mark, *self.whole("b"), *self.mark]
         self.by_words = fine and probe[0] == probe[1] + probe[2] == probe[3] and not any(_GAP.search(t) for t in special)
-        #: What all special strings hold; a text with it isn't lower-cased, nor its words put together.
-        self.special = os.path.commonprefix(special) if special else MARK
+        #: A text with one of these isn't lower-cased, nor its words put together.
+        self.special = [os.path.commonprefix(special)] if os.path.commonprefix(special) else [t for t in special if t]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.letters = {b: c for b, c in enumerate(byte_letters()) if b > 127}
@@ -71,15 +73,18 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def holds_special(self, text: str) -> bool:
+        return any(t in text for t in self.special)
+
     def words(self, text: str) -> list[str]:
         """Runs of non-space that are encoded by themselves; fewer differ if A-Z are lower-cased."""
-        if not self.special or self.special not in text:
+        if not self.holds_special(text):
             text = text.encode().translate(_LOWER).decode()
         return [w for w in _GAP.split(text) if w] if _ODD.search(text) else text.split()
 
     def learn(self, new: list[str]) -> None:
         """Many words in one call, each followed by a word that is one id and occurs nowhere else."""
-        plain = [w for w in new if MARK not in w and (not self.special or self.special not in w)]
+        plain = [w for w in new if MARK not in w and not self.holds_special(w)]
         for w in set(new).difference(plain):
             self.known[w] = np.array(self.whole(w), "<u4").tobytes()
         # a comma or full stop after a letter is a pre-token of its own at the end of a word
@@ -173,72 +178,71 @@ def write_tokens(
 ) -> DataFrame:
     """Encode every text, append `end_id`, write the files under `folder`; returns the manifest.
 
-    Ids are written in ascending order of the document id: null ids first, rows of one id in ascending order of their
-    ids as bytes. A null text is empty (its frame holds the end id alone). An empty table writes no file. Manifest: file
-    (int, in order of ids), uri, n_docs, n_tokens, width (bytes of an id).
+    Ids are written in ascending order of the document id: null ids first, rows of one id in the order of a hash of their
+    texts. A null text is empty (its frame holds the end id alone). An empty table writes no file. Other columns are
+    ignored whatever their names. Manifest: file (long, in order of ids; the range it is of in its upper half), uri,
+    n_docs, n_tokens, width (bytes of an id).
     """
     spark = documents.sparkSession
     run_folder = f"{folder}/tokens-{uuid.uuid4().hex}"
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = docs.count()
-    files = max(1, -(-rows // rows_per_file))
-    bounds = docs.where("id is not null").approxQuantile("id", [i / files for i in range(1, files)], min(0.01, 0.1 / files)) if files > 1 else []
-    edges = np.array(sorted(set(bounds)), np.float64)
+    ranges = min(MOST_RANGES, max(1, -(-docs.count() // rows_per_file)))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder, pack = _held(Encoder, path), zstandard.ZstdCompressor(level=level, write_checksum=True)
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = part.column(0)
-                raw = [x + end for x in encoder.encode(part.column(1).to_pylist())]
-                if width == 2:
-                    raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw]
-                file = np.searchsorted(edges, np.array([-np.inf if x is None else x for x in ids.to_pylist()]), "right")
-                columns = [pa.array(file, pa.int32()), ids, pa.array([pack.compress(x) for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64()), pa.array([xxhash.xxh64_intdigest(x) & 0xFFFFFFFF for x in raw], pa.int64()), pa.array([width] * len(raw), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["file", "id", "frame", "size", "sum", "width"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, done = None, None, []
+        part, out, done = TaskContext.get().partitionId(), None, []
 
         def close():
             out["stream"].write(doc_index(out["ids"]) + seek_table(out["sizes"]))
             out["stream"].close()
-            done.append((now, out["uri"], len(out["ids"]), out["tokens"], out["width"]))
+            done.append(((part << 32) + len(done), out["uri"], len(out["ids"]), out["tokens"], width))
 
         for batch in batches:
-            for file, doc, frame, size, check, width in zip(*(c.to_pylist() for c in batch.columns)):
-                if file != now:
-                    if out:
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                for doc, raw in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
+                    raw += end
+                    if width == 2:
+                        raw = np.frombuffer(raw, "<u4").astype("<u2").tobytes()
+                    if out and len(out["ids"]) >= rows_per_file:
                         close()
-                    now, uri = file, f"{run_folder}/{file:08d}-{uuid.uuid4().hex}.zst"
-                    system, where = _open(uri)
-                    system.create_dir(os.path.dirname(where), recursive=True)
-                    out = {"uri": uri, "stream": system.open_output_stream(where, compression=None), "ids": [], "sizes": [], "tokens": 0, "width": width}
-                out["stream"].write(frame)
-                out["ids"].append(doc)
-                out["sizes"].append((len(frame), size, check))
-                out["tokens"] += size // width
+                        out = None
+                    if out is None:
+                        uri = f"{run_folder}/{part:08d}-{len(done):08d}-{uuid.uuid4().hex}.zst"
+                        system, where = _open(uri)
+                        system.create_dir(os.path.dirname(where), recursive=True)
+                        out = {"uri": uri, "stream": system.open_output_stream(where, compression=None), "ids": [], "sizes": [], "tokens": 0}
+                    frame = pack.compress(raw)
+                    out["stream"].write(frame)
+                    out["ids"].append(doc)
+                    out["sizes"].append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+                    out["tokens"] += len(raw) // width
         if out:
             close()
         names = ["file", "uri", "n_docs", "n_tokens", "width"]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate(kinds)], names)
 
-    frames = docs.mapInArrow(encode, "file int, id long, frame binary, size long, sum long, width int")
-    placed = frames.repartition(files, "file").sortWithinPartitions("file", F.asc_nulls_first("id"), "frame")
-    placed.mapInArrow(write, "file int, uri string, n_docs long, n_tokens long, width int").write.parquet(f"{run_folder}/manifest")
+    order = [F.asc_nulls_first("id"), F.xxhash64("text")]
+    placed = docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed.mapInArrow(write, "file long, uri string, n_docs long, n_tokens long, width int").write.parquet(f"{run_folder}/manifest")
     return spark.read.parquet(f"{run_folder}/manifest")
 
 
 def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it), tokens (array), crc32 (of the ids as little-endian unsigned 32-bit
     integers), read from the files. With `wanted`, only those documents' frames are read."""
-    files = manifest.count()
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = manifest.withColumn("before", before).repartition(max(1, files), "file")
+    spark = manifest.sparkSession
+    m = manifest.withColumn("range", F.shiftright("file", 32))
+    sums = sorted((r["range"], r["n"]) for r in m.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect())  # MOST_RANGES at most
+    bases = spark.createDataFrame([(r, sum_ - n) for (r, n), sum_ in zip(sums, accumulate(n for _, n in sums))], "range long, base long")
+    w = Window.partitionBy("range").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = m.join(F.broadcast(bases), "range").withColumn("before", F.col("base") + F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
+    placed = placed.select("uri", "width", "before").repartition(max(1, min(MOST_RANGES, manifest.count())))
     only = None if wanted is None else set(wanted)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
