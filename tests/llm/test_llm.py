@@ -491,6 +491,23 @@ def test_quality_on_held_out_rows(spark, sf):
     assert odd.count() == len(ODD)
 
 
+def test_quality_of_odd_rows(spark):
+    rng = random.Random(29)
+    good = [" ".join(rng.choice(VOCAB) for _ in range(40)) + "." for _ in range(150)]
+    bad = [" ".join(["BUY", "!!!", rng.choice(VOCAB).upper()] * 9) for _ in range(150)]
+    texts = [x for pair in zip(good, bad) for x in pair] + [None, "", None, good[0]]
+    ids = [*range(300), 300, 301, None, 0]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(200)] + [(300, 0, 0), (None, 1, 0), (5, None, 1), (0, 1, None)], "doc_id long, quality int, toxic int")
+    d = docs(spark, texts, ids).withColumnsRenamed({"doc_id": "k", "text": "body"}).withColumn("text", F.lit("clash")).withColumn("score", F.lit(7))
+    out = quality.scored(d, labels, id_col="k", text_col="body").collect()
+    assert len(out) == len(texts) and set(out[0].asDict()) == {"k", "body", "lang", "source", "n_chars", "text", "score", "keep"}
+    kept = {r["k"]: r["keep"] for r in out if r["k"] is not None and r["k"] < 300}
+    assert sum(kept[i] == (i % 2 == 0) for i in range(200, 300)) > 95
+    few = quality.fit(d.select(F.col("k").alias("doc_id"), F.col("body").alias("text"), "source", "lang"), labels, labelled=40, pool=5, total_bytes=6000)
+    assert few is not None and quality.fit(d.select(F.col("k").alias("doc_id"), F.col("body").alias("text"), "source", "lang"), labels, total_bytes=0) is None
+    assert quality.scored(docs(spark, []), labels).count() == 0
+
+
 def test_pipeline_keeps_its_promises(spark, sf):
     import corpus_pipeline
 

@@ -6,8 +6,8 @@ each view is fitted on labelled rows and calibrated on rows held back. In each r
 unlabelled pool that it is sure of, and hands them to the other view as training rows. In the end a logistic
 combination of the two calibrated views, fitted on the rows held back, scores every document.
 
-Fitting uses at most `labelled` labelled rows and `pool` other rows (the first by a hash of the id, of texts up to
-SAMPLE_BYTES); scoring is one map over all rows and whole texts.
+Fitting uses a bounded sample: at most `labelled` labelled ids and `pool` other ids, the first by a hash of the id, one row
+of each, of texts up to `sample_bytes` and up to `total_bytes` together. Scoring is one map over all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.folders import shared_folder
+
 LABELLED = 4000
 POOL = 3000
 ROUNDS = 3
 CONFIDENT = 0.98
 PER_ROUND = 300
 SAMPLE_BYTES = 60_000
+TOTAL_BYTES = 64_000_000
 KEEP = 0.5
 LEXICON = 400
 CHANCE = 0.004  # that a word of the lexicon is no more frequent in bad documents
@@ -179,18 +182,32 @@ def co_train(dense: np.ndarray, words: list[list[str]], meta: np.ndarray, good:
     return model
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> Model | None:
+def fit(
+    documents: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS,
+    sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES,
+) -> Model | None:
     """Fit on a bounded sample. A document is good if its quality is 1 and it isn't toxic; rows of `labels` without id or
-    quality are left out, of several for one id the lowest counts."""
+    quality are left out, of several for one id the lowest counts. Of several documents of one id, the one whose text
+    comes first in order is looked at; a null text is an empty one."""
     session = documents.sparkSession
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
     sample = {r["doc_id"]: r["good"] for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).collect()}
-    rest = documents.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool + labelled).collect()
-    others = [d for d in dict.fromkeys(r["doc_id"] for r in rest) if d not in sample][:pool]
+    rest = documents.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool + len(sample)).collect()
+    others = [r["doc_id"] for r in rest if r["doc_id"] not in sample][:pool]
     if not sample:
         return None
-    ids = session.createDataFrame([(int(d),) for d in [*sample, *others]], "doc_id long")
-    rows = documents.select("doc_id", "text", "source", "lang").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(ids), "doc_id", "left_semi")
+    order = {d: i for i, d in enumerate([*sample, *others])}
+    ids = session.createDataFrame([(int(d),) for d in order], "doc_id long")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = documents.select("doc_id", text, "source", "lang").where(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "source", "lang")).alias("x")).select("doc_id", "x.*").checkpoint()
+    fitting, size = [], 0
+    for d, n in sorted(((r["doc_id"], r["n"]) for r in rows.select("doc_id", F.octet_length("text").alias("n")).collect()), key=lambda x: order[x[0]]):
+        size += n
+        if size <= total_bytes:
+            fitting.append(int(d))
+    if len(fitting) < rows.count():
+        rows = rows.join(F.broadcast(session.createDataFrame([(d,) for d in fitting], "doc_id long")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,24 +220,29 @@ def fit(documents: DataFrame, labels: DataFrame, *, labelled: int = LABELLED, po
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "dense", "words", "meta"])
 
     found = rows.mapInArrow(run, "doc_id long, dense array<double>, words string, meta array<double>").toArrow().to_pydict()
-    order = sorted({d: i for i, d in reversed(list(enumerate(found["doc_id"])))}.items())
-    at = [i for _, i in order]
+    at = sorted(range(len(found["doc_id"])), key=lambda i: found["doc_id"][i])
     if not at:
         return None
-    good = np.array([sample.get(d, -1) for d, _ in order])
+    good = np.array([sample.get(found["doc_id"][i], -1) for i in at])
     return co_train(np.array([found["dense"][i] for i in at]), [list(map(sys.intern, found["words"][i].split())) for i in at], np.array([found["meta"][i] for i in at]), good, rounds)
 
 
-def scored(documents: DataFrame, labels: DataFrame, *, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of `documents` (doc_id, text, source, lang and any others) with score and keep (score >= `keep`).
+def scored(
+    documents: DataFrame, labels: DataFrame, *, keep: float = KEEP, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS,
+    sample_bytes: int = SAMPLE_BYTES, total_bytes: int = TOTAL_BYTES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+) -> DataFrame:
+    """The rows of `documents` with all their columns, and score and keep (score >= `keep`). `labels`: doc_id, quality, toxic.
 
-    A null text counts as empty, a null source or language as an empty name. Without labels of both kinds every score
-    is 1. Columns named score or keep are replaced.
+    A null text counts as empty, a null source or language as an empty name; rows without an id are scored like others.
+    Repeated ids stay rows of their own. Without labels of both kinds every score is 1. Columns named score or keep are
+    replaced; an empty table gives no rows.
     """
-    model = fit(documents, labels, labelled=labelled, pool=pool, rounds=rounds)
+    view = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"))
+    shared_folder(documents.sparkSession)  # for checkpoints
+    model = fit(view, labels, labelled=labelled, pool=pool, rounds=rounds, sample_bytes=sample_bytes, total_bytes=total_bytes)
     docs = documents.drop("score", "keep")
     names = docs.columns
-    at = [names.index(c) for c in ("text", "source", "lang")]
+    at = [names.index(c) for c in (text_col, source_col, lang_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
