@@ -4,7 +4,9 @@ import base64
 import hashlib
 import os
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -213,6 +215,77 @@ def test_frequent_and_rare_forms_of_a_template(spark, rows):
     assert few.agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def template_tree(rows, min_docs, depth=3, share=line_templates.CONSTANT):
+    """The definition line by line: id -> (n_lines, n_dropped, text). Rows of one id count as so many documents."""
+    number, letter = re.compile(r"\d"), re.compile(r"[^\W\d_]")
+
+    def masked(line):
+        tokens = line.split()
+        if any(letter.search(t) and not number.search(t) for t in tokens):
+            tokens = ["<*>" if number.search(t) else t for t in tokens]
+        return tuple(tokens)
+
+    lines = [{masked(x) for x in (t or "").split("\n")} - {()} if d is not None else set() for d, t in rows]
+    at = defaultdict(list)  # documents of each masked line
+    for (d, _), found in zip(rows, lines):
+        for x in found:
+            at[x].append(d)
+    leaves = defaultdict(list)
+    for x in at:
+        leaves[len(x), x[:depth]].append(x)
+    first = {x: min(ds) for x, ds in at.items() if len(ds) >= min_docs}
+    for members in leaves.values():
+        stands = Counter()
+        for x in members:
+            for place, token in enumerate(x):
+                stands[place, token] += len(at[x])
+        shape = {x: {(p, t) for p, t in enumerate(x) if t != "<*>" and stands[p, t] >= min_docs} for x in members}
+        shape = {x: c for x, c in shape.items() if len(c) and len(c) >= share * len(x)}
+        forms = {}
+        for x, c in shape.items():
+            if len(at[x]) < min_docs:
+                having = [y for y, other in shape.items() if c <= other]
+                rare = [i for i in range(len(rows)) if any(y in lines[i] for y in having if len(at[y]) < min_docs)]
+                n = len(rare) + sum(len(at[y]) for y in having if len(at[y]) >= min_docs)
+                if n >= min_docs:
+                    forms[frozenset(c)] = min(min(at[y]) for y in having)
+        for x, c in shape.items():
+            if len(at[x]) < min_docs and (fits := [(-len(f), low) for f, low in forms.items() if f <= c]):
+                first[x] = min(fits)[1]
+    out = []
+    for d, t in rows:
+        kept, n = [], 0
+        for line in (t or "").split("\n"):
+            x = masked(line)
+            n += x != ()
+            if d is None or x not in first or first[x] >= d:
+                kept.append(line)
+        gone = len((t or "").split("\n")) - len(kept)
+        out.append((d, n, gone, t if not gone else "\n".join(kept)))
+    return out
+
+
+@pytest.mark.parametrize("seed,rows", [(1, 1000), (2, 1000), (3, 0)])
+def test_template_tree_against_brute_force(spark, seed, rows):
+    rng = random.Random(seed)
+    words = [prose(rng, 1) for _ in range(40)]
+    shapes = [[rng.choice(words) for _ in range(rng.randrange(1, 9))] for _ in range(8)]
+
+    def line():
+        out = list(rng.choice(shapes))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            out[rng.randrange(len(out))] = rng.choice([*words[:6], "7", "x9", str(rng.randrange(99)), "é1"])
+        return (rng.choice([" ", "  "])).join(out)
+
+    texts = ["\n".join(rng.choice([line(), line(), "", " ", prose(rng, 5), "1 2 3"]) for _ in range(rng.randrange(9))) for _ in range(70)] + ODD
+    ids = [*range(len(texts) - 3), None, 4, 4]
+    got = line_templates.drop_recurring(docs(spark, texts, ids), min_docs=5, broadcast_rows=rows).collect()
+    want = template_tree(list(zip(ids, texts)), 5)
+    key = lambda r: (r[0] is None, r[0] or 0, r[3] or "")
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got), key=key) == sorted(want, key=key)
+    assert sum(r[2] for r in want) > 40
+
+
 def test_footers_of_mostly_fields(spark):
     footers = ["Page {0} of 40", "Page {0}", "Updated: 2020-01-{0} 12:{0}"]
     texts = ["\n".join([*(f.format(10 + i) for f in footers), f"{i} | {i + 1}"]) for i in range(12)]
