@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what its decisions leave. All but the last return the columns of
 documents. run() writes every stage's result as Parquet in the shared folder and reads it again as the next one's docs.
+
+In all stages: a null text is an empty one; rows without an id go through every stage and are never copies of others; rows
+of one id are judged each by itself, but for the Jaccard join, where they are one document; an empty table gives an empty
+one; columns of documents other than doc_id, text, lang, source and n_chars are left behind by the first stage.
 """
 
 from __future__ import annotations
@@ -18,18 +22,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Without labels of both kinds none does."""
     return quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("keep").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; every document stays, n_chars follows its text."""
+    """Lines of recurring templates go, but for the document with the smallest id; every document stays, a null text stays
+    null, n_chars follows the text."""
     out = line_templates.drop_recurring(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of copies and near copies the document with the smallest id stays; rows without an id stay."""
+    """Of each class of copies and near copies the document with the smallest id stays; rows without an id stay. Rows of one
+    id stay or go together: they go if one of them is in the class of a smaller id."""
     classes = neardup.near_duplicates(docs)[0]
     return with_ids(docs, classes.where("doc_id <> class_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 

@@ -610,6 +610,30 @@ def test_pipeline_keeps_one_of_a_star(spark, sf):
     assert sorted(r["doc_id"] for r in stage(spark, docs(spark, texts), sf).collect()) == [0, 301]
 
 
+@pytest.mark.parametrize("rows", ["odd", "none", "one"])
+def test_pipeline_run_on_odd_tables(spark, sf, tmp_path, rows):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    texts = [prose(rng, 60) for _ in range(30)]
+    near = edited(rng, texts[0], 1)
+    passage = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 80").first()["text"]
+    table = [(i, t) for i, t in enumerate(texts)] + [(40, texts[0]), (41, near), (42, f"{texts[3]} {passage} {texts[4]}"), (None, texts[5]), (None, None), (43, None), (44, ""), (7, texts[7]), (7, prose(rng, 70))]
+    table = {"odd": table, "none": [], "one": [(1, None)]}[rows]
+    names = ["score", "keep", "contaminated", "n_lines", "n_dropped", "id", "heads", "tokens", "_id", "class_id"]
+    d = spark.createDataFrame([(i, t, None if i == 3 else "en", None if i == 4 else "web", len(t or "")) for i, t in table], DOCS)
+    d.withColumns({n: F.lit("clash") for n in names}).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, None) for i in range(20)] + [(None, 0, 1), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "round_trip"]
+    got = out.collect()
+    assert all(r["round_trip"] for r in got)
+    ids = sorted((r["doc_id"] for r in got), key=lambda x: (x is None, x or 0))
+    # labels of one kind reject nothing; copies, near copies and texts with benchmark passages go, rows without an id stay
+    assert ids == {"odd": sorted([*range(30), 7, 7, 43]) + [None, None], "none": [], "one": [1]}[rows]
+
+
 def test_tables_of_hashes():
     raw = np.frombuffer(b"ab ab cd", np.uint8)
     h = kernels.slice_hashes(raw, np.array([0, 3, 6]), np.array([2, 5, 8]))
