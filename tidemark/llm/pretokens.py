@@ -84,7 +84,8 @@ def _scan(f: np.ndarray, table: np.ndarray, identity: int) -> np.ndarray:
 def classes(library: str = "tiktoken") -> np.ndarray:
     """Class of every code point (LETTER, NUMBER, OTHER or SPACES), as the regular expressions of "tiktoken" or "tokenizers"
     take it: their Unicode version is theirs, not Python's. The library is asked once for all code points."""
-    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    points = np.arange(0x110000, dtype="<u4")
+    text = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
     out = np.full(0x110000, OTHER, np.uint8)
     for kind, inside, outside in ((LETTER, r"\p{L}", r"\P{L}+"), (NUMBER, r"\p{N}", r"\P{N}+"), (SPACES, r"\s", r"\S+")):
         if library == "tiktoken":
