@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from tidemark.plans import panel_queries as P
+from tidemark.plans import state_queries as P
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

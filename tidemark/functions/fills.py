@@ -37,11 +37,17 @@ def ffill(df: DataFrame, v: str, axis: Axis, n: int = 0, start_decay: float = 0.
     Without a limit on rows there is no decay."""
     x = with_staleness(df, v, axis, "_stale")
     held = F.last(col(v), ignorenulls=True).over(axis.rows().rowsBetween(FIRST, 0))
-    if n:
-        held = F.when(F.col("_stale") <= n, held)
-        if end_decay is not None:
-            held = held * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (F.col("_stale") - start_decay) / F.lit(float(end_decay - start_decay))))
-    return x.withColumn(out, held).drop("_stale")
+    return x.withColumn(out, faded(held, F.col("_stale"), n, start_decay, end_decay)).drop("_stale")
+
+
+def faded(held: Column, stale: Column, n: int, start_decay: float, end_decay: float | None) -> Column:
+    """A value that is filled in `stale` rows after it was seen."""
+    if not n:
+        return held
+    held = F.when(stale <= n, held)
+    if end_decay is None:
+        return held
+    return held * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (stale - start_decay) / F.lit(float(end_decay - start_decay))))
 
 
 def bfill(df: DataFrame, v: str, axis: Axis, n: int = -1, out: str = "out") -> DataFrame:

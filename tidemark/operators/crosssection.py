@@ -3,38 +3,50 @@
 from __future__ import annotations
 
 import math
+import sys
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.axis import Axis, col
+from tidemark.functions.axis import FIRST, Axis, col
+from tidemark.operators.ewm import RANGE
 
 
 def xrank(panel: DataFrame, time: str, name: str, value: str, weight: str | None = None, beta: str | None = None, vol: float | None = -1.0, scale: int = 0, reweight: bool = False, out: str = "out") -> DataFrame:
     """Rank within each time in (-1, 1): the weighted sum over other series of 2 P(mine is above theirs) - 1.
 
     `vol` 0: P is 1 or 0 (half for equals); below 0: the weighted deviation of the values of that time; P has exponential
-    tails. scale 1, 2, 3 divide by a deviation of the ranks (net of beta, plain, weighted). The values of a time are an
-    array, one for each series, which is what a rank has to see.
+    tails. scale 1, 2, 3 divide by a deviation of the ranks (net of beta, plain, weighted).
+
+    2 P - 1 is the sign of the difference times 1 - exp(-|difference| / vol), so a rank is made of running sums over the
+    values of a time in order: of weights, and of weights times exp(value / vol). As in tidemark.operators.ewm, blocks keep
+    these powers in range. One sort of each time's values; no pair of series is ever formed.
     """
     x = panel.withColumns({"_a": col(value), "_w": col(weight) if weight else F.lit(1.0), "_b": col(beta) if beta else F.lit(1.0)})
     x = x.withColumn("_wb", F.when(F.col("_a").isNotNull(), F.col("_w") * F.col("_b")))
-    item = F.struct(F.col("_a").alias("a"), F.col("_wb").alias("wb"))
-    t = x.where("_a is not null and _w <> 0").groupBy(time).agg(F.collect_list(item).alias("_l"), F.sum("_wb").alias("_t"), F.sum(F.col("_wb") * F.col("_a")).alias("_s1"), F.sum(F.col("_wb") * F.col("_a") * F.col("_a")).alias("_s2"))
-    m1 = F.col("_s1") / F.col("_t")
-    t = t.withColumn("_vol", F.sqrt(F.greatest(F.lit(0.0), F.col("_s2") / F.col("_t") - m1 * m1)) if vol is None or vol < 0 else F.lit(float(vol)))
-    j = x.join(t, time, "left")
-
-    def above(y):
-        d = F.col("_a") - y["a"]
-        z = F.abs(d) / F.col("_vol")
-        tail = F.exp(-z) / 2
-        soft = F.when(d > 0, 1 - tail).otherwise(tail)
-        hard = F.when(d > 0, 1.0).when(d < 0, 0.0).otherwise(0.5)
-        return (2 * F.when(F.col("_vol") > 0, soft).otherwise(hard) - 1) * y["wb"] / F.col("_t")
-
-    rank = F.aggregate("_l", F.lit(0.0), lambda acc, y: acc + above(y))
-    j = j.withColumn("_r", F.when(F.col("_a").isNotNull() & (F.col("_t") != 0), F.when(F.col("_w") != 0, rank).otherwise(0.0)))
+    same = Window.partitionBy(time, F.col("_a").isNull())
+    total, s1, s2 = (F.sum(c).over(same) for c in (F.col("_wb"), F.col("_wb") * F.col("_a"), F.col("_wb") * F.col("_a") * F.col("_a")))
+    x = x.withColumn("_t", F.nullif(total, F.lit(0.0))).withColumn("_mean", s1 / F.col("_t"))
+    deviation = F.sqrt(F.greatest(F.lit(0.0), s2 / F.col("_t") - F.col("_mean") * F.col("_mean")))
+    x = x.withColumn("_vol", deviation if vol is None or vol < 0 else F.lit(float(vol)))
+    x = x.withColumn("_z", F.when(F.col("_vol") > 0, (F.col("_a") - F.col("_mean")) / F.col("_vol")).otherwise(F.col("_a")))
+    soft = F.col("_vol") > 0
+
+    def side(sign: int):
+        """Sum of weights below (sign 1) or above, each times 1 - exp(-distance); equals cancel out."""
+        z = F.col("_z") if sign > 0 else -F.col("_z")
+        block = F.floor(z / RANGE)
+        at = z - block * RANGE
+        order = F.asc("_z") if sign > 0 else F.desc("_z")
+        weights = F.sum("_wb").over(same.orderBy(order).rangeBetween(FIRST, 0))
+        here = F.sum(F.col("_wb") * F.exp(at)).over(Window.partitionBy(time, F.col("_a").isNull(), block).orderBy(order).rangeBetween(FIRST, 0))
+        there = F.sum(F.col("_wb") * F.exp(at)).over(Window.partitionBy(time, F.col("_a").isNull()).orderBy(block).rangeBetween(-1, -1))
+        return weights, here * F.exp(-at) + F.coalesce(there, F.lit(0.0)) * F.exp(-at - RANGE)
+
+    (below, near_below), (above, near_above) = side(1), side(-1)
+    x = x.withColumns({"_below": below, "_above": above, "_near_below": near_below, "_near_above": near_above})
+    rank = (F.col("_below") - F.col("_above") - F.when(soft, F.col("_near_below") - F.col("_near_above")).otherwise(F.lit(0.0))) / F.col("_t")
+    j = x.withColumn("_r", F.when(F.col("_a").isNotNull() & F.col("_t").isNotNull(), F.when(F.col("_w") != 0, rank).otherwise(0.0)))
     if scale:
         w = F.when(F.col("_a").isNotNull(), F.col("_w"))
         share = F.sum(w)
@@ -57,8 +69,6 @@ def daily_to_eod(bar: DataFrame, by: str, time: str, open_: str = "open", volume
     axis = Axis(by, time).rows()
     ends = (F.lead(volume).over(axis) < F.col(volume)) | (F.lead(open_).over(axis) != F.col(open_)) | F.lead(time).over(axis).isNull()
     x = bar.withColumn("_end", ends).where("_end").withColumn("_day", F.to_date(time) if day is None else day)
-    from pyspark.sql import Window
-
     last = Window.partitionBy(by, "_day").orderBy(F.desc(time))
     return x.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_end", "_k").withColumnRenamed("_day", "day")
 
@@ -109,6 +119,17 @@ def decode_correlation(x: str | Column, dtype: str = "int8") -> Column:
     return col(x).cast("double") / CORRELATION_CODEC[dtype]
 
 
+def correlation_resolution(dtype: str | None = None) -> float:
+    """Difference of two neighbouring stored correlations: of a code, or of a double if it isn't coded."""
+    return 1 / CORRELATION_CODEC[dtype] if dtype else sys.float_info.epsilon
+
+
+def quantisation_noise(dtype: str | None, m: int) -> float:
+    """How far rounding may move the eigenvalues of a correlation matrix of m series: twice the spread of a random symmetric
+    matrix whose entries are uniform within one step."""
+    return 2 * math.sqrt(m / 12) * correlation_resolution(dtype)
+
+
 def normalise_diagonal(matrix: DataFrame, time: str, value: str = "c") -> DataFrame:
     """m_ij / sqrt(m_ii m_jj); null where a diagonal entry isn't positive."""
     d = matrix.where((F.col("i") == F.col("j")) & (F.col(value) > 0))
@@ -137,5 +158,5 @@ def near_correlation_matrix(spark, rho: float, n: int) -> DataFrame:
 
 def beta_correlation_matrix(beta: DataFrame, name: str, value: str) -> DataFrame:
     """b_i b_j off the diagonal and 1 on it, for the few series of a matrix."""
-    a, b = (beta.select(F.col(name).alias(k), F.col(value).alias(f"_b{k}"), F.lit(0).alias("_")) for k in "ij")
-    return a.join(b, "_").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("_bi") * F.col("_bj")).alias("c"))
+    a, b = (beta.select(F.col(name).alias(k), F.col(value).alias(f"_b{k}")) for k in "ij")
+    return a.crossJoin(b).select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("_bi") * F.col("_bj")).alias("c"))

@@ -5,7 +5,7 @@ of t contributes, plus what the observation itself contributes: within a tick th
 parts are window sums. Powers would overflow on long series, so ticks are cut into blocks that keep them in range; what
 a block needs from before is the total of the block before it, since anything older has decayed to nothing.
 
-Without a clock every observation is a tick. A clock is 'i' (rows), 'd', 'b', 'w', 'm', 'y' (calendar), or a column.
+Without a clock every observation is a tick. A clock is 'i' (rows), 'd', 'b', 'w', 'm', 'q', 'y' (calendar), or a column.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ RANGE = 280.0  # powers of e that are kept in one block, also when squared
 
 
 def calendar(time: str, clock: str) -> Column:
-    """Number of the calendar tick: day, business day (weekends belong to the Friday before), week from Monday, month, year."""
+    """Number of the calendar tick: day, business day (weekends belong to the Friday before), week from Monday, month, quarter,
+    year."""
     t = col(time)
     days = F.datediff(t, F.lit("1970-01-05"))
     if clock == "d":
@@ -34,9 +35,21 @@ def calendar(time: str, clock: str) -> Column:
         return F.floor(days / 7).cast("long")
     if clock == "m":
         return (F.year(t) * 12 + F.month(t)).cast("long")
+    if clock == "q":
+        return (F.year(t) * 4 + F.quarter(t)).cast("long")
     if clock == "y":
         return F.year(t).cast("long")
-    return t
+    raise ValueError(f"no such calendar: {clock}")
+
+
+CALENDARS = ("d", "b", "w", "m", "q", "y")
+
+
+def tick_of(axis: Axis, clock: str) -> Column:
+    """The tick of each row: 'i' numbers them, a calendar's letter counts its periods, any other name is a column."""
+    if clock == "i":
+        return F.row_number().over(axis.rows()).cast("long")
+    return calendar(axis.order[0], clock) if clock in CALENDARS else col(clock)
 
 
 def with_ticks(df: DataFrame, v: str, axis: Axis, clock: str | None = None) -> DataFrame:
@@ -44,7 +57,7 @@ def with_ticks(df: DataFrame, v: str, axis: Axis, clock: str | None = None) -> D
     if clock is None:
         place = F.row_number().over(axis.valid(v))
         return df.withColumn("_tick", place.cast("long")).withColumn("_seq", F.col("_tick")).withColumn("_last", F.lit(True))
-    tick = F.row_number().over(axis.rows()).cast("long") if clock == "i" else calendar(axis.order[0], clock) if clock in "dbwmy" else col(clock)
+    tick = tick_of(axis, clock)
     w = Window.partitionBy(*axis.by, col(v).isNull())
     df = df.withColumn("_tick", tick)
     df = df.withColumn("_seq", F.dense_rank().over(w.orderBy("_tick")).cast("long"))
@@ -85,14 +98,18 @@ def moments(df: DataFrame, v: str, axis: Axis, n: float, terms: dict[str, Column
 
 def final_state(df: DataFrame, axis: Axis, v: str, clock: str | None = None) -> DataFrame:
     """One row per series: the moments after its last observation, as s_ columns, and its tick. With a clock, go on with
-    rows of later ticks; an unfinished tick is best kept back and given again with the new rows."""
-    tick = F.lit(0) if clock is None else calendar(axis.order[0], clock) if clock in "dbwmy" else col(clock)
+    rows of later ticks; an unfinished tick is best kept back and given again with the new rows. The clock 'i' numbers the
+    rows of each run anew: give the numbers as a column to go on with them."""
+    tick = F.lit(0) if clock is None else tick_of(axis, clock)
+    if clock == "i":
+        df = df.withColumn("_tick", tick)
+        tick = F.col("_tick")
     held = [c for c in df.columns if c in ("_t0", "_w2", "_n0", "_n1") or c.startswith("_m")]
     rows = df.where(col(v).isNotNull()).groupBy(*axis.by).agg(F.max_by(F.struct(*held, tick.alias("tick")), F.struct(*axis.order)).alias("s"))
     return rows.select(*axis.by, *(F.col(f"s.{c}").alias(f"s_{c}") for c in (*held, "tick")))
 
 
-def _terms(v: str, top: int) -> dict[str, Column]:
+def powers(v: str, top: int) -> dict[str, Column]:
     return {f"_m{k}": F.pow(col(v), F.lit(k)) if k > 1 else col(v) for k in range(1, top + 1)}
 
 
@@ -119,7 +136,7 @@ def _base(df: DataFrame, v: str, exc_zero: bool) -> tuple[DataFrame, str]:
 
 
 def ewma(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, min_periods: int = 0, state: DataFrame | None = None, out: str = "out") -> DataFrame:
-    x = moments(df, v, axis, n, _terms(v, 1), clock, wgt, state)
+    x = moments(df, v, axis, n, powers(v, 1), clock, wgt, state)
     return _finish(df, x, v, axis, out, F.when((F.col("_t0") != 0) & (F.col("_n1") >= min_periods), F.col("_m1") / F.col("_t0")), False)
 
 
@@ -139,7 +156,7 @@ def variance(t0: Column, t1: Column, t2: Column, w2: Column, bias: bool) -> Colu
 
 def ewmvar(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, bias: bool = True, exc_zero: bool = False, min_sample: float | None = None, min_periods: int | None = None, state: DataFrame | None = None, out: str = "out") -> DataFrame:
     d, u = _base(df, v, exc_zero)
-    x = moments(d, u, axis, n, _terms(u, 2), clock, wgt, state)
+    x = moments(d, u, axis, n, powers(u, 2), clock, wgt, state)
     least, count = _gates(min_sample, min_periods, 3)
     value = F.when((F.col("_n0") >= least) & (F.col("_n1") >= count), variance(F.col("_t0"), F.col("_m1"), F.col("_m2"), F.col("_w2"), bias))
     return _finish(df, x, v, axis, out, value, exc_zero)
@@ -150,7 +167,7 @@ def ewmstd(df: DataFrame, v: str, axis: Axis, n: float, *args, bias: bool = Fals
 
 
 def ewmskew(df: DataFrame, v: str, axis: Axis, n: float, clock: str | None = None, wgt: str | None = None, bias: bool = False, min_sample: float | None = None, min_periods: int | None = None, state: DataFrame | None = None, out: str = "out") -> DataFrame:
-    x = moments(df, v, axis, n, _terms(v, 3), clock, wgt, state)
+    x = moments(df, v, axis, n, powers(v, 3), clock, wgt, state)
     w = decay(n)
     d = 1 + (n if n > 1 else w / (1 - w))
     t0, m1, m2, m3 = (F.col(c) * d for c in ("_t0", "_m1", "_m2", "_m3"))

@@ -3,14 +3,19 @@ worked on in numpy; its size is that of a panel squared, whatever the number of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.fills import decay
+from tidemark.functions.axis import Axis
+from tidemark.operators.ewm import final_state, moments
+from tidemark.operators.sequential import by_portfolio
+from tidemark.operators.states import last_rows, resumed
 
 
 def dense(rows: pd.DataFrame, value: str = "c") -> tuple[np.ndarray, list]:
@@ -87,12 +92,13 @@ def eigenvalues(matrix: DataFrame, time: str) -> DataFrame:
 
 
 def eigenvectors(matrix: DataFrame, time: str) -> DataFrame:
-    """(time, k, i, out): unit eigenvectors from the largest eigenvalue, the largest entry positive."""
+    """(time, k, i, out): unit eigenvectors from the largest eigenvalue. The sign is such that the first entry, by name, that
+    is not nearly 0 is positive."""
 
     def rows(m, names):
         ok = [n for n, d in zip(names, np.diag(m)) if not np.isnan(d)]
         vectors = np.linalg.eigh(valid_part(m))[1][:, ::-1]
-        return [(k, n, float(x * np.sign(v[np.abs(v).argmax()]))) for k, v in enumerate(vectors.T) for n, x in zip(ok, v)]
+        return [(k, n, float(x * np.sign(v[np.flatnonzero(np.abs(v) > 1e-9)[0]]))) for k, v in enumerate(vectors.T) for n, x in zip(ok, v)]
 
     return by_matrix(matrix, time, rows, f"k int, i {matrix.schema['i'].dataType.simpleString()}, out double")
 
@@ -101,73 +107,159 @@ def det(matrix: DataFrame, time: str) -> DataFrame:
     return by_matrix(matrix, time, lambda m, _: [(float(np.linalg.det(valid_part(m))),)], "out double")
 
 
-def quantisation_noise(scale: float, m: int) -> float:
-    return 2 * np.sqrt(m / 12) / scale
-
-
 def least_squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """x of the least |Ax - b|^2: rows with a missing b go, missing entries of A are 0."""
     ok = ~np.isnan(b)
     return np.linalg.lstsq(np.nan_to_num(a[ok]), b[ok], rcond=None)[0]
 
 
-# --- regressions over time --------------------------------------------------------------------------------------------
+def masked(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """fn on what is left of its array without the rows and columns that hold nothing; its result, of the same shape, is put
+    back where it came from."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        held = ~np.isnan(a)
+        kept = np.ix_(*(np.flatnonzero(held.any(axis=tuple(k for k in range(a.ndim) if k != i))) for i in range(a.ndim)))
+        out = np.full(a.shape, np.nan)
+        out[kept] = fn(a[kept])
+        return out
+
+    return run
+
+
+def along_time(rows: DataFrame, by: list[str], time: str, asset: str, fn: Callable, inputs: list[str]) -> DataFrame:
+    """(by, time, asset, out): fn(previous result or None, arrays of a time's inputs) for each time in turn. Every asset has
+    a row at every time; an input may be an array column, such as the row of a matrix."""
+    kind = rows.schema[asset].dataType.simpleString()
 
+    def step(state, names, values):
+        result = fn(state, *values)
+        return result, [(n, None if np.isnan(x) else float(x)) for n, x in zip(names, result)]
 
-def glm_path(a: np.ndarray, b: np.ndarray, n: float, overlapping: int = 1, min_sample: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
-    """(inverse second moments of the changes of a, coefficients of b's changes on them) after each row that has all
-    values; NaN before enough weight or where the moments have no inverse."""
-    w, m = decay(n), a.shape[1]
-    inverse, out = np.full((len(a), m, m), np.nan), np.full(a.shape, np.nan)
-    rows = np.flatnonzero(~np.isnan(a).any(1) & ~np.isnan(b))
-    aa, ab, t0 = np.zeros((m, m)), np.zeros(m), 0.0
-    for i, r in enumerate(rows):
-        if i < overlapping:
-            continue
-        da, db = a[r] - a[rows[i - overlapping]], b[r] - b[rows[i - overlapping]]
-        t0 = t0 * w + 1 - w
-        aa, ab = aa * w + (1 - w) * np.outer(da, da), ab * w + (1 - w) * da * db
-        if t0 > min_sample and np.linalg.matrix_rank(aa) == m:
-            inverse[r] = np.linalg.inv(aa / t0)
-            out[r] = inverse[r] @ (ab / t0)
-    return inverse, out / overlapping
+    return by_portfolio(rows, by, time, asset, step, lambda n: None, inputs, f"{asset} {kind}, out double")
 
 
-def ewm_glm(df: DataFrame, by: str, time: str, regressors: list[str], target: str, n: float, overlapping: int = 1, min_sample: float = 0.25) -> DataFrame:
-    """(by, time, regressor, out): rolling regression of the target's changes, for each series in turn of time."""
-    kinds = [df.schema[c].dataType.simpleString() for c in (by, time)]
+def by_time(matrix: DataFrame, time: str, fn: Callable[[np.ndarray], np.ndarray], value: str = "c") -> DataFrame:
+    """(time, i, j, c) of a function of each time's valid matrix: rows and columns without a diagonal are left out before and
+    null after."""
+    kind = matrix.schema["i"].dataType.simpleString()
+
+    def run(m: np.ndarray, names: list) -> list[tuple]:
+        out = np.full(m.shape, np.nan)
+        ok = np.flatnonzero(~np.isnan(np.diag(m)))
+        if len(ok):
+            out[np.ix_(ok, ok)] = fn(np.nan_to_num(m[np.ix_(ok, ok)]))
+        return _entries(out, names)
+
+    return by_matrix(matrix, time, run, f"i {kind}, j {kind}, c double", value)
+
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(time)
-        _, x = glm_path(rows[regressors].to_numpy(float), rows[target].to_numpy(float), n, overlapping, min_sample)
-        return pd.DataFrame({by: np.repeat(rows[by].to_numpy(), len(regressors)), time: np.repeat(rows[time].to_numpy(), len(regressors)), "regressor": regressors * len(rows), "out": x.ravel()}).astype({"out": "Float64"})
+def clipped(matrix: DataFrame, time: str, least: float = 0.0) -> DataFrame:
+    """(time, i, j, c): eigenvalues below `least` raised to it."""
+    return by_time(matrix, time, lambda m: clip_eigenvalues(m, least))
 
-    return df.select(by, time, *regressors, target).groupBy(by).applyInPandas(run, f"{by} {kinds[0]}, {time} {kinds[1]}, regressor string, out double")
+
+# --- regressions over time --------------------------------------------------------------------------------------------
 
 
-def ewm_aai(df: DataFrame, by: str, time: str, columns: list[str], n: float, overlapping: int = 1, min_sample: float = 0.25) -> DataFrame:
+def _regression(df: DataFrame, by: list[str], time: str, columns: list[str], target: str | None, n: float, overlapping: int, wgt: str | None, state: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """(rows with _t0 and the weighted sums of products of changes, rows with the changes): all window sums. Rows that lack a
+    value take no part; a change is over `overlapping` rows that have all."""
+    every = [*columns, *([target] if target else [])]
+    axis = Axis(by, time)
+
+    def changes(x: DataFrame) -> DataFrame:
+        x = x.withColumn("_ok", F.when(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in every)), F.lit(1.0)))
+        w = axis.valid("_ok")
+        return x.withColumns({f"_d{k}": F.when(F.col("_ok").isNotNull(), F.col(c) - F.lag(c, overlapping).over(w)) for k, c in enumerate(every)})
+
+    x = changes(df) if state is None else resumed(state[0], df, changes)
+    d = [F.col(f"_d{k}") for k in range(len(every))]
+    m = len(columns)
+    terms = {f"_m{i}_{j}": d[i] * d[j] for i in range(m) for j in range(i, m)}
+    if target:
+        terms |= {f"_mb{i}": d[i] * d[m] for i in range(m)}
+    return moments(x, "_d0", axis, n, terms, None, wgt, None if state is None else state[1]), x
+
+
+def regression_state(df: DataFrame, by: list[str], time: str, columns: list[str], target: str | None, n: float, overlapping: int = 1, wgt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What ewm_glm and ewm_aai go on from: the last rows that have all values, and the moments."""
+    every = [*columns, *([target] if target else [])]
+    x, _ = _regression(df, by, time, columns, target, n, overlapping, wgt, None)
+    whole = df.where(" and ".join(f"`{c}` is not null" for c in every))
+    return last_rows(whole, Axis(by, time), overlapping), final_state(x, Axis(by, time), "_d0")
+
+
+def _solved(x: DataFrame, by: list[str], time: str, columns: list[str], target: str | None, min_sample: float, overlapping: int) -> DataFrame:
+    """(by, time, i, j, c), or with a target (by, time, regressor, out): inverses of a batch of rows at once."""
+    m = len(columns)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    keys = [*by, time]
+    kinds = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in keys)
+    x = x.select(*keys, "_t0", F.array(*(F.col(f"_m{i}_{j}") for i, j in pairs)).alias("_aa"), *([F.array(*(F.col(f"_mb{i}") for i in range(m))).alias("_ab")] if target else []))
+    wide = m if target else m * m
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            t0 = batch.column(len(keys)).to_numpy(zero_copy_only=False)
+            flat = batch.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False).reshape(rows, len(pairs))
+            result = np.full((rows, wide), np.nan)
+            ok = np.flatnonzero(np.nan_to_num(t0) > min_sample)
+            if len(ok):
+                aa = np.empty((len(ok), m, m))
+                for k, (i, j) in enumerate(pairs):
+                    aa[:, i, j] = aa[:, j, i] = flat[ok, k] / t0[ok]
+                full = np.linalg.matrix_rank(aa) == m
+                ok, inverse = ok[full], np.linalg.inv(aa[full])
+                if target:
+                    ab = batch.column(len(keys) + 2).flatten().to_numpy(zero_copy_only=False).reshape(rows, m)
+                    result[ok] = (inverse @ (ab[ok] / t0[ok, None])[:, :, None])[:, :, 0] / overlapping
+                else:
+                    result[ok] = inverse.reshape(len(ok), -1)
+            at = pa.array(np.repeat(np.arange(rows), wide))
+            names = [columns * rows] if target else [[c for c in columns for _ in columns] * rows, columns * m * rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *(pa.array(c, pa.string()) for c in names), pa.array(result.ravel(), pa.float64(), from_pandas=True)], [*keys, *(["regressor", "out"] if target else ["i", "j", "c"])])
+
+    return x.mapInArrow(run, kinds + (", regressor string, out double" if target else ", i string, j string, c double"))
+
+
+def ewm_glm(df: DataFrame, by: list[str], time: str, regressors: list[str], target: str, n: float, overlapping: int = 1, min_sample: float = 0.25, wgt: str | None = None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(by, time, regressor, out): rolling regression of the target's changes on those of the regressors, divided by
+    `overlapping`; null before enough weight or where the moments have no inverse."""
+    x, _ = _regression(df, by, time, regressors, target, n, overlapping, wgt, state)
+    return _solved(x, by, time, regressors, target, min_sample, overlapping)
+
+
+def ewm_aai(df: DataFrame, by: list[str], time: str, columns: list[str], n: float, overlapping: int = 1, min_sample: float = 0.25, wgt: str | None = None, state: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(by, time, i, j, c): inverse of the weighted second moments of changes."""
-    kinds = [df.schema[c].dataType.simpleString() for c in (by, time)]
+    x, _ = _regression(df, by, time, columns, None, n, overlapping, wgt, state)
+    return _solved(x, by, time, columns, None, min_sample, overlapping)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(time)
-        a = rows[columns].to_numpy(float)
-        inverse, _ = glm_path(a, np.where(np.isnan(a).any(1), np.nan, 0.0), n, overlapping, min_sample)
-        m = len(columns)
-        return pd.DataFrame({by: np.repeat(rows[by].to_numpy(), m * m), time: np.repeat(rows[time].to_numpy(), m * m), "i": list(np.repeat(columns, m)) * len(rows), "j": columns * m * len(rows), "c": inverse.ravel()}).astype({"c": "Float64"})
 
-    return df.select(by, time, *columns).groupBy(by).applyInPandas(run, f"{by} {kinds[0]}, {time} {kinds[1]}, i string, j string, c double")
+def least_squares_by(df: DataFrame, by: list[str], columns: list[str], target: str) -> DataFrame:
+    """(by, regressor, out): least squares of the target on the columns, for each group: rows with a missing target go,
+    missing entries are 0. Only sums of products are gathered, whatever the number of rows."""
+    m = len(columns)
+    x = df.where(F.col(target).isNotNull()).select(*by, *(F.coalesce(c, F.lit(0.0)).alias(f"_x{k}") for k, c in enumerate(columns)), F.col(target).alias("_y"))
+    sums = x.groupBy(*by).agg(*(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_m{i}_{j}") for i in range(m) for j in range(i, m)), *(F.sum(F.col(f"_x{i}") * F.col("_y")).alias(f"_mb{i}") for i in range(m)), F.lit(1.0).alias("_t0"))
+    return _solved(sums, by[:-1], by[-1], columns, target, 0.0, 1)
 
 
 def risk_parity(cov: np.ndarray, budget: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
-    """Weights whose contributions to risk are as `budget`, by cyclical coordinate descent; 0 for assets without variance."""
-    out = np.zeros(len(cov))
-    ok = np.flatnonzero(np.nan_to_num(np.diag(cov)) > 0)
+    """Weights whose contributions to risk are as `budget`, by cyclical coordinate descent, from `start` where it is given;
+    null (NaN) for assets without variance or budget."""
+    given = np.ones(len(cov)) if budget is None else np.nan_to_num(np.asarray(budget, float))
+    out = np.full(len(cov), np.nan)
+    ok = np.flatnonzero((np.nan_to_num(np.diag(cov)) > 0) & (given > 0))
     if not len(ok):
         return out
     c = np.nan_to_num(cov[np.ix_(ok, ok)])
-    b = np.full(len(ok), 1 / len(ok)) if budget is None else np.asarray(budget)[ok] / np.sum(np.asarray(budget)[ok])
-    x = 1 / np.sqrt(np.diag(c)) if start is None else np.maximum(start[ok], 1e-6)
+    b = given[ok] / given[ok].sum()
+    x = 1 / np.sqrt(np.diag(c))
+    if start is not None:
+        old = np.asarray(start, float)[ok]
+        x = np.where(np.isnan(old) | (old <= 0), x, old)
     for _ in range(rounds):
         old = x.copy()
         for i in range(len(x)):
@@ -180,7 +272,13 @@ def risk_parity(cov: np.ndarray, budget: np.ndarray | None = None, start: np.nda
     return out
 
 
-def riskparity(matrix: DataFrame, time: str) -> DataFrame:
-    """(time, i, w) of each covariance matrix."""
+def riskparity(matrix: DataFrame, time: str, budgets: dict | None = None) -> DataFrame:
+    """(time, i, w) of each covariance matrix. `budgets`: shares of risk by asset, equal where it is not given. Every matrix
+    stands for itself: the solution is unique, so where the search begins doesn't show."""
     kind = matrix.schema["i"].dataType.simpleString()
-    return by_matrix(matrix, time, lambda m, names: [(n, float(x)) for n, x in zip(names, risk_parity(m))], f"i {kind}, w double").withColumn("w", F.col("w"))
+
+    def weights(m: np.ndarray, names: list) -> list[tuple]:
+        w = risk_parity(m, None if budgets is None else np.array([budgets.get(n, 0.0) for n in names]))
+        return [(n, None if np.isnan(x) else float(x)) for n, x in zip(names, w)]
+
+    return by_matrix(matrix, time, weights, f"i {kind}, w double")

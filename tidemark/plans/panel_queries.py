@@ -5,14 +5,14 @@ Panel: values of `events` summed by event type and hour, as returns; levels are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.axis import Axis
 from tidemark.operators import crosssection as X
 from tidemark.operators import ewm, matrices, pairs, sequential
 from tidemark.plans.queries import AXIS, NEAR, QUERIES, SQL, _r, add, add_frame, events, rounded
-from tidemark.sources.series import appended, as_of, full_panel, new_rows, table
+from tidemark.sources.series import as_of, full_panel, reindex_matrices, resampled, table
 
 PANEL_SQL = "p AS (SELECT event_type AS s, date_trunc('hour', ts) AS t, sum(value) AS v FROM events GROUP BY ALL)"
 N = 20
@@ -93,6 +93,18 @@ add_rows(
     z AS (SELECT *, CASE WHEN var IS NOT NULL THEN lag(var) OVER (PARTITION BY var IS NULL ORDER BY t) END AS pv FROM f)
     SELECT t, {_r("x")} AS data, {_r("rho")} AS rho, {_r("sqrt(last_value(pv IGNORE NULLS) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))")} AS vol FROM z""", grid,
 )
+SIGNALS = lambda d: d.withColumn("v", F.col("v") / 100).withColumn("w", weights())
+add_rows("ewmcombined", lambda d: pairs.ewmcombined(SIGNALS(d), "t", "s", "v", "w", N), ["t", "data"], f"WITH {GRID_SQL}, h AS (SELECT t, last_value(v / 100 IGNORE NULLS) OVER (PARTITION BY s ORDER BY t ROWS UNBOUNDED PRECEDING) AS a, CASE s WHEN 'view' THEN 0.5 WHEN 'error' THEN -0.3 ELSE 0.25 END AS w FROM g) SELECT t, {_r('coalesce(sum(a * w), 0)')} AS data FROM h GROUP BY t", grid)
+add_rows(
+    "rms_combine", lambda d: pairs.rms_combine(SIGNALS(d), "t", "s", "v", "w", N, 2.0), ["t", "data", "rho", "vol", "leverage"],
+    f"""WITH {GRID_SQL}, h AS (SELECT t, v / 100 AS a, CASE s WHEN 'view' THEN 0.5 WHEN 'error' THEN -0.3 ELSE 0.25 END AS w FROM g WHERE v IS NOT NULL),
+    u AS (SELECT t, sum(a * w) AS x, sum(a * w * a * w) AS x2, sum(w * w) AS w2, sum(abs(w)) AS wa, row_number() OVER (ORDER BY t) AS k FROM h GROUP BY t),
+    o AS (SELECT *, wa * wa - w2 AS wij, CASE WHEN abs(wa * wa - w2) > 1e-12 THEN (x2 - w2) / (wa * wa - w2) END AS p FROM u),
+    q AS (SELECT *, count(p) OVER (ORDER BY t) AS n FROM o), z AS (SELECT *, CASE WHEN p IS NOT NULL THEN CASE WHEN n <= 6 THEN 0 ELSE p END END AS r FROM q),
+    y AS (SELECT a.t, greatest(-1, least(1, sum(pow({DECAY}, a.n - b.n) * b.r) / sum(pow({DECAY}, a.n - b.n)))) AS rho FROM z a JOIN z b ON b.n <= a.n AND b.r IS NOT NULL WHERE a.r IS NOT NULL GROUP BY a.t),
+    f AS (SELECT z.t, x, wa, rho, greatest(0, w2 + rho * wij) AS var FROM z LEFT JOIN y USING (t)), l AS (SELECT *, CASE WHEN rho IS NOT NULL THEN CASE WHEN var > 0 THEN least(wa / sqrt(var), 2.0) ELSE 2.0 END END AS leverage FROM f)
+    SELECT t, {_r("x / (wa / leverage)")} AS data, {_r("rho")} AS rho, {_r("wa / leverage")} AS vol, {_r("leverage")} AS leverage FROM l""", grid,
+)
 TAIL = "CASE WHEN vol > 0 THEN CASE WHEN a.v > b.v THEN 1 - exp(-abs(a.v - b.v) / vol) / 2 ELSE exp(-abs(a.v - b.v) / vol) / 2 END ELSE 0.5 END"
 add_rows(
     "xrank", lambda d: X.xrank(d, "t", "s", "v"), ["s", "t", "out"],
@@ -117,13 +129,58 @@ add_rows(
     "matmul", lambda d: X.quadratic_form(CORR(d), "t", d.select("t", F.col("s").alias("i"), (F.col("v") / 100).alias("w"))), ["t", "out"],
     f"WITH {UPPER}, w AS (SELECT event_type AS s, date_trunc('hour', ts) AS t, sum(value) / 100 AS v FROM events GROUP BY ALL) SELECT c.t, {_r('sum(a.v * c * b.v)')} AS out FROM c JOIN w a ON a.t = c.t AND a.s = i JOIN w b ON b.t = c.t AND b.s = j GROUP BY c.t",
 )
-add_rows("psd_correlation", lambda d: matrices.psd_correlation(CORRELATIONS(d), "t", shrinkage=0.1), ["i", "j", "t", "c"], None)
-add_rows("min_eigenvalues", lambda d: matrices.min_eigenvalues(CORRELATIONS(d), "t"), ["t", "out"], None)
+# Whole matrices: what SQL can say of them is said by sums over their entries, or by roots of the characteristic polynomial.
+FULL = f"""{UPPER}, f AS (SELECT t, i, j, c FROM c WHERE c IS NOT NULL UNION ALL SELECT t, j, i, c FROM c WHERE c IS NOT NULL
+    UNION ALL SELECT DISTINCT t, s, s, 1.0 FROM (SELECT t, unnest([i, j]) AS s FROM c WHERE c IS NOT NULL)),
+    f2 AS (SELECT a.t, a.i, b.j, sum(a.c * b.c) AS c FROM f a JOIN f b ON a.t = b.t AND a.j = b.i GROUP BY ALL),
+    s AS (SELECT t, p1, p2, p3, p4, p5, k FROM (SELECT t, sum(c) FILTER (i = j) AS p1, sum(c * c) AS p2, count(DISTINCT i) AS k FROM f GROUP BY t)
+        JOIN (SELECT f.t, sum(f.c * f2.c) AS p3 FROM f JOIN f2 ON f2.t = f.t AND f2.i = f.i AND f2.j = f.j GROUP BY f.t) USING (t)
+        JOIN (SELECT t, sum(c * c) AS p4 FROM f2 GROUP BY t) USING (t)
+        JOIN (SELECT a.t, sum(a.c * b.c * f.c) AS p5 FROM f2 a JOIN f2 b ON a.t = b.t AND a.j = b.i JOIN f ON f.t = a.t AND f.i = b.j AND f.j = a.i GROUP BY a.t) USING (t)),
+    e2 AS (SELECT *, p1 AS e1, (p1 * p1 - p2) / 2 AS e2 FROM s), e3 AS (SELECT *, (e2 * p1 - e1 * p2 + p3) / 3 AS e3 FROM e2),
+    e4 AS (SELECT *, (e3 * p1 - e2 * p2 + e1 * p3 - p4) / 4 AS e4 FROM e3), e5 AS (SELECT *, (e4 * p1 - e3 * p2 + e2 * p3 - e1 * p4 + p5) / 5 AS e5 FROM e4)"""
+CHARACTERISTIC = "CASE k WHEN 2 THEN x * x - e1 * x + e2 WHEN 3 THEN ((x - e1) * x + e2) * x - e3 WHEN 4 THEN (((x - e1) * x + e2) * x - e3) * x + e4 ELSE ((((x - e1) * x + e2) * x - e3) * x + e4) * x - e5 END"
+SLOPE = "CASE k WHEN 2 THEN 2 * x - e1 WHEN 3 THEN (3 * x - 2 * e1) * x + e2 WHEN 4 THEN ((4 * x - 3 * e1) * x + 2 * e2) * x - e3 ELSE (((5 * x - 4 * e1) * x + 3 * e2) * x - 2 * e3) * x + e4 END"
+#: The least root by Newton's steps from below, which never pass it.
+LEAST_ROOT = FULL + f""", n AS (SELECT t, k, e1, e2, e3, e4, e5, CAST(-k AS DOUBLE) AS x, 0 AS step FROM e5
+    UNION ALL SELECT t, k, e1, e2, e3, e4, e5, x - ({CHARACTERISTIC}) / ({SLOPE}), step + 1 FROM n WHERE step < 60 AND ({SLOPE}) <> 0)"""
+add_rows("psd_correlation", lambda d: matrices.psd_correlation(CORRELATIONS(d), "t", shrinkage=0.1), ["i", "j", "t", "c"], f"WITH {FULL} SELECT i, j, t, {_r('CASE WHEN i = j THEN 1.0 ELSE 0.9 * c END')} AS c FROM f")
+add_rows("clip_eigenvalues", lambda d: matrices.clipped(CORRELATIONS(d), "t", 1e-8), ["i", "j", "t", "c"], f"WITH {FULL} SELECT i, j, t, {_r('c')} AS c FROM f")
+add_rows("min_eigenvalues", lambda d: matrices.min_eigenvalues(CORRELATIONS(d), "t").withColumn("out", F.round("out", 4)), ["t", "out"], f"WITH RECURSIVE {LEAST_ROOT} SELECT t, round(round(x, 4){NEAR} AS out FROM n QUALIFY row_number() OVER (PARTITION BY t ORDER BY step DESC) = 1")
+
+
+def power_sums(d: DataFrame) -> DataFrame:
+    """The sums of the powers 1 to 5 of five eigenvalues leave no doubt about any of them."""
+    return matrices.eigenvalues(CORRELATIONS(d), "t").groupBy("t").agg(F.count("*").alias("k"), *(F.sum(F.pow("out", F.lit(float(k)))).alias(f"p{k}") for k in range(1, 6)))
+
+
+def rebuilt(d: DataFrame) -> DataFrame:
+    """Eigenvectors times eigenvalues times eigenvectors."""
+    vectors = matrices.eigenvectors(CORRELATIONS(d), "t")
+    a, b = (vectors.select("t", "k", F.col("i").alias(name), F.col("out").alias(f"v{name}")) for name in "ij")
+    return a.join(b, ["t", "k"]).join(matrices.eigenvalues(CORRELATIONS(d), "t"), ["t", "k"]).groupBy("t", "i", "j").agg(F.sum(F.col("vi") * F.col("vj") * F.col("out")).alias("c"))
+
+
 add_rows("eigenvalues", lambda d: matrices.eigenvalues(CORRELATIONS(d), "t"), ["t", "k", "out"], None)
+add_rows("eigenvalues_power_sums", power_sums, ["t", "k", "p1", "p2", "p3", "p4", "p5"], f"WITH {FULL} SELECT t, k, {', '.join(f'{_r(p)} AS {p}' for p in ('p1', 'p2', 'p3', 'p4', 'p5'))} FROM s")
 add_rows("eigenvectors", lambda d: matrices.eigenvectors(CORRELATIONS(d), "t"), ["t", "k", "i", "out"], None)
-add_rows("det", lambda d: matrices.det(pairs.symmetric(CORR(d).where("i = 'click' and j = 'view' and c is not null"), unit_diagonal=True), "t"), ["t", "out"], f"WITH {UPPER} SELECT t, {_r('1 - c * c')} AS out FROM c WHERE i = 'click' AND j = 'view' AND c IS NOT NULL")
-add_rows("det_panel", lambda d: matrices.det(pairs.symmetric(CORR(d).where("c is not null"), unit_diagonal=True), "t"), ["t", "out"], None)
+add_rows("eigenvectors_rebuilt", rebuilt, ["t", "i", "j", "c"], f"WITH {FULL} SELECT t, i, j, {_r('c')} AS c FROM f")
+add_rows("det", lambda d: matrices.det(CORRELATIONS(d), "t"), ["t", "out"], f"WITH {FULL} SELECT t, {_r('CASE k WHEN 2 THEN e2 WHEN 3 THEN e3 WHEN 4 THEN e4 ELSE e5 END')} AS out FROM e5")
 add_rows("riskparity", lambda d: matrices.riskparity(COVARIANCES(d), "t"), ["t", "i", "w"], None)
+
+
+def contributions(d: DataFrame) -> DataFrame:
+    """Each asset's share of the risk of the weights, and their sum."""
+    c = COVARIANCES(d)
+    w = matrices.riskparity(c, "t").where("w is not null")
+    full = pairs.symmetric(c)
+    risk = full.join(w, ["t", "i"]).join(w.select("t", F.col("i").alias("j"), F.col("w").alias("wj")), ["t", "j"]).groupBy("t", "i").agg(F.sum(F.col("w") * F.col("c") * F.col("wj")).alias("part"), F.first("w").alias("w"))
+    every = Window.partitionBy("t")
+    return risk.select("t", "i", F.round(F.col("part") / F.sum("part").over(every), 5).alias("share"), F.round(F.sum("w").over(every), 6).alias("weights"))
+
+
+COV_SQL = f"c AS ({pair_sql(COV, 'l', '<=').replace('round(', '(').replace(NEAR, ')')})"
+add_rows("riskparity_contributions", contributions, ["t", "i", "share", "weights"], f"WITH {COV_SQL} SELECT t, i, round(round(1.0 / count(*) OVER (PARTITION BY t), 5){NEAR} AS share, {_r('1.0')} AS weights FROM c WHERE i = j AND c > 0")
 QUERIES["near_correlation_matrix"] = lambda spark, _: X.near_correlation_matrix(spark, 0.9, 20).select("i", "j", rounded("c").alias("c"))
 SQL["near_correlation_matrix"] = f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {_r('pow(0.9, abs(i - j))')} AS c FROM range(20) a(i), range(20) b(j)"
 QUERIES["beta_correlation_matrix"] = lambda spark, d: X.beta_correlation_matrix(table(spark, d, "nation").withColumn("b", 1 / (1 + F.col("n_nationkey"))), "n_nationkey", "b").select("i", "j", rounded("c").alias("c"))
@@ -131,12 +188,59 @@ SQL["beta_correlation_matrix"] = f"SELECT a.n_nationkey AS i, b.n_nationkey AS j
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = LEVELLED(panel(spark, sf_dir))
-    return p.groupBy("t").pivot("s", ["click", "view", "signup"]).agg(F.first("v")).withColumn("k", F.lit(0))
+    """Levels of clicks, views and all the rest together, over the times that have them."""
+    p = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).otherwise("rest")
+    sums = p.groupBy(kind.alias("s"), F.date_trunc("hour", "ts").alias("t")).agg(F.sum(F.col("value").cast("double")).alias("v"))
+    return LEVELLED(sums).groupBy("t").pivot("s", ["click", "view", "rest"]).agg(F.first("v")).withColumn("k", F.lit(0))
+
+
+WIDE_SQL = f"""p AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'rest' END AS s, date_trunc('hour', ts) AS t, sum(value) AS v FROM events GROUP BY ALL), {LEVELS},
+    w AS (SELECT t, max(v) FILTER (s = 'click') AS a, max(v) FILTER (s = 'view') AS b, max(v) FILTER (s = 'rest') AS y FROM l GROUP BY t)"""
+
 
+def regression_sql(every: str) -> str:
+    """Moments of the changes of clicks and views (and the rest) over the rows that have them all, and the inverse of two by two."""
+    return f"""WITH {WIDE_SQL}, k AS (SELECT * FROM w WHERE {every}), d AS (SELECT t, a - lag(a) OVER (ORDER BY t) AS a, b - lag(b) OVER (ORDER BY t) AS b, y - lag(y) OVER (ORDER BY t) AS y, row_number() OVER (ORDER BY t) AS k FROM k),
+    m AS (SELECT x.t, sum(pow({DECAY}, x.k - z.k) * {OWN}) AS t0, {', '.join(f'sum(pow({DECAY}, x.k - z.k) * {OWN} * z.{p} * z.{q}) AS {p}_{q}' for p, q in ('aa', 'ab', 'bb', 'ay', 'by'))} FROM d x JOIN d z ON z.k <= x.k AND z.a IS NOT NULL WHERE x.a IS NOT NULL GROUP BY x.t),
+    n AS (SELECT *, a_a / t0 * b_b / t0 - a_b / t0 * a_b / t0 AS det FROM m WHERE t0 > 0.25)"""
 
-add_rows("ewm_glm", lambda d: matrices.ewm_glm(d, "k", "t", ["click", "view"], "signup", N), ["t", "regressor", "out"], None, wide_panel)
-add_rows("ewm_aai", lambda d: matrices.ewm_aai(d, "k", "t", ["click", "view"], N).withColumn("c", F.col("c") * 1e6), ["t", "i", "j", "c"], None, wide_panel)
+
+add_rows(
+    "ewm_glm", lambda d: matrices.ewm_glm(d, ["k"], "t", ["click", "view"], "rest", N), ["t", "regressor", "out"],
+    regression_sql("a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL") + f""" SELECT w.t, r.regressor, {_r("CASE r.regressor WHEN 'click' THEN (b_b * a_y - a_b * b_y) / (t0 * t0) / det ELSE (a_a * b_y - a_b * a_y) / (t0 * t0) / det END")} AS out FROM w CROSS JOIN (SELECT unnest(['click', 'view']) AS regressor) r LEFT JOIN n ON n.t = w.t""", wide_panel,
+)
+add_rows(
+    "ewm_aai", lambda d: matrices.ewm_aai(d, ["k"], "t", ["click", "view"], N).withColumn("c", F.col("c") * 1e6), ["t", "i", "j", "c"],
+    regression_sql("a IS NOT NULL AND b IS NOT NULL") + f""" SELECT w.t, i.i, j.j, {_r("1e6 * CASE WHEN i.i <> j.j THEN -a_b / t0 WHEN i.i = 'click' THEN b_b / t0 ELSE a_a / t0 END / det")} AS c FROM w CROSS JOIN (SELECT unnest(['click', 'view']) AS i) i CROSS JOIN (SELECT unnest(['click', 'view']) AS j) j LEFT JOIN n ON n.t = w.t""", wide_panel,
+)
+
+
+def _glm_resumed(d: DataFrame) -> DataFrame:
+    old, new = d.where(~LATER("t")), d.where(LATER("t"))
+    columns = ["click", "view"], "rest", N
+    state = matrices.regression_state(old, ["k"], "t", *columns)
+    return matrices.ewm_glm(old, ["k"], "t", *columns).unionByName(matrices.ewm_glm(new, ["k"], "t", *columns, state=state))
+
+
+def LATER(time: str):  # noqa: N802
+    return F.col(time) >= F.lit("2024-01-15").cast("timestamp")
+
+
+add_rows("ewm_glm_resumed", _glm_resumed, ["t", "regressor", "out"], SQL["ewm_glm"], wide_panel)
+add_rows(
+    "least_squares", lambda d: matrices.least_squares_by(d, ["k"], ["click", "view"], "rest"), ["regressor", "out"],
+    f"""WITH {WIDE_SQL}, m AS (SELECT sum(coalesce(a, 0) * coalesce(a, 0)) AS a_a, sum(coalesce(a, 0) * coalesce(b, 0)) AS a_b, sum(coalesce(b, 0) * coalesce(b, 0)) AS b_b, sum(coalesce(a, 0) * y) AS a_y, sum(coalesce(b, 0) * y) AS b_y FROM w WHERE y IS NOT NULL)
+    SELECT regressor, {_r("CASE regressor WHEN 'click' THEN (b_b * a_y - a_b * b_y) / (a_a * b_b - a_b * a_b) ELSE (a_a * b_y - a_b * a_y) / (a_a * b_b - a_b * a_b) END")} AS out FROM m CROSS JOIN (SELECT unnest(['click', 'view']) AS regressor)""", wide_panel,
+)
+QUERIES["quantisation_noise"] = lambda spark, _: spark.createDataFrame([(d, m, X.quantisation_noise(d, m), X.correlation_resolution(d)) for d in X.CORRELATION_CODEC for m in (2, 5, 200)], "dtype string, m int, noise double, resolution double").withColumns({c: rounded(c) for c in ("noise", "resolution")})
+SQL["quantisation_noise"] = f"SELECT dtype, CAST(m AS INTEGER) AS m, {_r('2 * sqrt(m / 12.0) / scale')} AS noise, {_r('1.0 / scale')} AS resolution FROM (VALUES ('int8', 100.0), ('int16', 10000.0)) x(dtype, scale), (VALUES (2), (5), (200)) y(m)"
+DAYS = lambda d: d.select(F.date_trunc("day", "t").alias("t")).distinct()
+add_rows(
+    "reindex_3d", lambda d: reindex_matrices(CORR(d).where("c is not null"), DAYS(d), "t"), ["i", "j", "t", "c"],
+    f"WITH {UPPER}, v AS (SELECT * FROM c WHERE c IS NOT NULL), w AS (SELECT DISTINCT date_trunc('day', ts) AS t FROM events), m AS (SELECT w.t, max(v.t) AS u FROM w JOIN v ON v.t <= w.t GROUP BY w.t) SELECT i, j, m.t, {_r('c')} AS c FROM m JOIN v ON v.t = m.u",
+)
+add_rows("ewmx", lambda d: pairs.ewmx(LEVELLED(d).where("s <> 'view'"), LEVELLED(d).where("s = 'view'"), "t", "s", "v", N).where("t0 is not null").select("i", "j", "t", (F.col("ab") / F.col("t0")).alias("c")), ["i", "j", "t", "c"], f"SELECT * FROM ({pair_sql('ab / t0', 'l', '<> b.s AND b.s = ' + chr(39) + 'view' + chr(39) + ' AND a.s <>', gate='true', ffill=False)}) WHERE c IS NOT NULL")
 
 # --- bars and positions -------------------------------------------------------------------------------------------------
 
@@ -155,6 +259,12 @@ for model in V:
     add_rows(f"bar_r2_{model}", lambda d, m=model: X.bar_r2(d, Axis("s", "t"), model=m), ["s", "t", "out"], f"WITH {BARS_SQL}, x AS (SELECT *, lag(close) OVER (PARTITION BY s ORDER BY t) AS c0 FROM b) SELECT s, t, {_r(V[model])} AS out FROM x", bars)
 
 
+add_rows(
+    "resampled", lambda d: resampled(d.withColumn("at", F.col("ts")), ["event_type"], "ts", "value", "6 hours"), ["event_type", "ts", "high", "low", "volume"],
+    f"SELECT event_type, to_timestamp(floor(epoch(ts) / 21600) * 21600)::TIMESTAMP AS ts, {_r('max(value)')} AS high, {_r('min(value)')} AS low, count(value) AS volume FROM events GROUP BY ALL", lambda s, d: table(s, d, "events"),
+)
+
+
 def growing_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Axis(["s", "day"], ["ts", "event_id"]).rows()
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("s"), F.to_date("ts").alias("day"), "ts", "event_id", "value")
@@ -165,29 +275,50 @@ add_rows(
     "bar_daily_to_eod", lambda d: X.daily_to_eod(d, "s", "ts", day=F.date_trunc("day", "ts")), ["s", "day", "value", "volume"],
     f"SELECT event_type AS s, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, {_r('arg_max(value, ts)')} AS value, count(*) AS volume FROM events GROUP BY ALL", growing_bars,
 )
-add_frame("buffer", lambda e: sequential.buffer(e.withColumn("band", F.lit(60.0)), "v", "band", AXIS, unit=7.0), "v")
-add_frame("zmooth", lambda e: sequential.zmooth(e, "v", AXIS, 5, max_move=1.5), "v")
-add_frame("ewmrms_max_move", lambda e: sequential.ewm_clipped(e, "v", AXIS, 5, 1.2), "v")
-add_frame("ewmstd_max_move", lambda e: sequential.ewm_clipped(e, "v", AXIS, 5, 1.2, rms=False), "v")
+FOLDS = {
+    "buffer": lambda e, **k: sequential.buffer(e.withColumn("band", F.lit(60.0)), "v", "band", AXIS, unit=7.0, **k), "zmooth": lambda e, **k: sequential.zmooth(e, "v", AXIS, 5, max_move=1.5, **k),
+    "ewmrms_max_move": lambda e, **k: sequential.ewm_clipped(e, "v", AXIS, 5, 1.2, **k), "ewmstd_max_move": lambda e, **k: sequential.ewm_clipped(e, "v", AXIS, 5, 1.2, rms=False, **k),
+}
+for name, run in FOLDS.items():
+    add_frame(name, run, "v")
 add_frame("ts_iterate", lambda e: sequential.fold(e, AXIS, lambda s, x: (s, None) if x is None else (0.5 * s + x, 0.5 * s + x), lambda: 0.0, ["v"]), "s", "e AS (SELECT user_id, event_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, v IS NULL ORDER BY ts, event_id) AS k FROM e), m AS (SELECT a.event_id, sum(pow(0.5, a.k - b.k) * b.v) AS s FROM k a JOIN k b ON a.user_id = b.user_id AND b.k <= a.k AND b.v IS NOT NULL WHERE a.v IS NOT NULL GROUP BY a.event_id)", "e LEFT JOIN m USING (event_id)")
-for name in ("buffer", "zmooth", "ewmrms_max_move", "ewmstd_max_move"):
-    del SQL[name]  # each result depends on the one before; tested against plain loops
 
 
-def _tracked(state, names, inputs):
-    import numpy as np
+def recursive(first: str, then: str, out: str) -> str:
+    """Each result from the one before, by a recursion over a series' observations: r is the row before, k the row."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN CAST(value AS DOUBLE) END AS v FROM events),
+    k AS (SELECT user_id, event_id, v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE v IS NOT NULL),
+    r AS (SELECT user_id, event_id, n, {first} FROM k WHERE n = 1 UNION ALL SELECT user_id, event_id, n, {then})
+    SELECT e.event_id, {_r(out)} AS out FROM e LEFT JOIN r USING (event_id)"""
 
-    target = inputs[0] / 100
-    pos, _ = sequential.track(np.eye(len(names)) + 0.3, target, state)
-    return pos, list(zip(names, pos.tolist()))
 
+def _next(columns: str, *steps: str) -> str:
+    """`columns` of the last of some nested selects, each of which adds columns to the one before."""
+    frm = "SELECT k.user_id, k.event_id, k.n, k.v, r.* EXCLUDE (user_id, event_id, n) FROM r JOIN k ON k.user_id = r.user_id AND k.n = r.n + 1"
+    for step in steps:
+        frm = f"SELECT *, {step} FROM ({frm})"
+    return f"{columns} FROM ({frm})"
 
-def _multi(state, names, inputs):
-    import numpy as np
 
-    m, previous = state
-    m, pos, miss = sequential.multi_buffer_step(inputs[0] / 100, np.full(len(names), 0.6), np.eye(len(names)) + 0.3, previous, m)
-    return (m, pos), [(n, float(p), float(m), float(miss)) for n, p in zip(names, pos)]
+LOW, HIGH = (f"round_even(v / 7.0 {sign} 60.0 / 7.0, 0) * 7" for sign in "-+")
+SQL["buffer"] = recursive(f"least(greatest(0.0, {LOW}), {HIGH}) AS pos", _next(f"least(greatest(pos, {LOW}), {HIGH})"), "pos")
+W5, OWN5 = (f"CAST({x!r} AS DOUBLE)" for x in (5 / 6, 1 - 5 / 6))
+SQL["zmooth"] = recursive(
+    "v AS z, CAST(0 AS DOUBLE) AS t0, CAST(0 AS DOUBLE) AS t2",
+    _next(f"z + move, t0 * {W5} + {OWN5}, t2 * {W5} + {OWN5} * move * move", "CASE WHEN t0 > 0 THEN 1.5 * sqrt(t2 / t0) ELSE 0 END AS most", "CASE WHEN most > 0 AND abs(v - z) > most THEN sign(v - z) * most ELSE v - z END AS move"),
+    "z",
+)
+SQL["ewmrms_max_move"] = recursive(
+    f"{OWN5} AS t0, {OWN5} * v * v AS t2, {OWN5} * v * v AS raw",
+    _next(f"t0 * {W5} + {OWN5}, t2 * {W5} + {OWN5} * x * x, raw * {W5} + {OWN5} * v * v", "sqrt(raw / t0) AS most", "CASE WHEN most > 0 THEN greatest(least(v, 1.2 * most), -1.2 * most) ELSE v END AS x"),
+    "sqrt(t2 / t0)",
+)
+DEVIATION = "CASE WHEN n >= 3 AND t0 >= 0.25 AND t2 / t0 - (t1 / t0) * (t1 / t0) >= 0 AND w2 / (t0 * t0) < 1 THEN sqrt((t2 / t0 - (t1 / t0) * (t1 / t0)) / (1 - w2 / (t0 * t0))) END"
+SQL["ewmstd_max_move"] = recursive(
+    f"{OWN5} AS t0, {OWN5} * v AS t1, {OWN5} * v * v AS t2, {OWN5} * {OWN5} AS w2",
+    _next(f"t0 * {W5} + {OWN5}, t1 * {W5} + {OWN5} * x, t2 * {W5} + {OWN5} * x * x, w2 * {W5} * {W5} + {OWN5} * {OWN5}", f"{DEVIATION.replace('n >= 3', 'n - 1 >= 3')} AS most", "CASE WHEN most > 0 THEN greatest(least(v, 1.2 * most), -1.2 * most) ELSE v END AS x"),
+    DEVIATION,
+)
 
 
 def _zeros(n):
@@ -196,9 +327,28 @@ def _zeros(n):
     return np.zeros(n)
 
 
-PORTFOLIO = lambda s, d: grid(s, d).withColumn("k", F.lit(0))
-add_rows("minimize_tracking_error", lambda d: sequential.by_portfolio(d, "k", "t", "s", _tracked, _zeros, ["v"], "s string, out double"), ["t", "s", "out"], None, PORTFOLIO)
-add_rows("multibuffer", lambda d: sequential.by_portfolio(d, "k", "t", "s", _multi, lambda n: (1.0, _zeros(n)), ["v"], "s string, out double, mult double, mismatch double"), ["t", "s", "out", "mult", "mismatch"], None, PORTFOLIO)
+def _tracked(state, names, inputs):
+    pos, error = sequential.track(inputs[1], inputs[0], state)
+    return pos, [(n, float(p), float(error)) for n, p in zip(names, pos)]
+
+
+def _multi(state, names, inputs):
+    m, previous = state
+    m, pos, miss = sequential.multi_buffer_step(inputs[0], inputs[0] * 0 + 0.6, inputs[1], previous, m)
+    return (m, pos), [(n, float(p), float(m), float(miss)) for n, p in zip(names, pos)]
+
+
+def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets (a fiftieth of each hour's value) and the rows of each time's covariance matrix."""
+    g = grid(spark, sf_dir)
+    full = pairs.symmetric(pairs.ewmcovariance(LEVELLED(panel(spark, sf_dir)), "t", "s", "v", N))
+    rows = full.groupBy("t", F.col("i").alias("s")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "c"))), lambda x: x["c"]).alias("risk"))
+    names = g.select("s").distinct().count()  # a matrix has a row and a column for each
+    return g.withColumn("target", F.coalesce("v", F.lit(0.0)) / 50).join(rows.where(F.size("risk") == names), ["t", "s"]).withColumn("k", F.lit(0))
+
+
+add_rows("minimize_tracking_error", lambda d: sequential.by_portfolio(d, ["k"], "t", "s", _tracked, _zeros, ["target", "risk"], "s string, out double, error double"), ["t", "s", "out", "error"], None, portfolio)
+add_rows("multibuffer", lambda d: sequential.by_portfolio(d, ["k"], "t", "s", _multi, lambda n: (1.0, _zeros(n)), ["target", "risk"], "s string, out double, mult double, mismatch double"), ["t", "s", "out", "mult", "mismatch"], None, portfolio)
 
 # --- alignment and increments -------------------------------------------------------------------------------------------
 
@@ -207,18 +357,3 @@ add(
     lambda e: as_of(e.where("v is null").select("user_id", "ts", "event_id"), e.where("v is not null").select("user_id", "ts", "v"), ["user_id"], "ts", ["v"]).select("event_id", rounded("v").alias("out")),
     f"WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type <> 'error' THEN value END AS v FROM events) SELECT a.event_id, {_r('b.v')} AS out FROM (SELECT * FROM e WHERE v IS NULL) a ASOF LEFT JOIN (SELECT * FROM e WHERE v IS NOT NULL) b ON a.user_id = b.user_id AND a.ts >= b.ts",
 )
-
-
-def _resumed(e: DataFrame) -> DataFrame:
-    """ewma of the later half from the state that the earlier half leaves, with the earlier results kept."""
-    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
-    old, new = e.where(half), e.where(~half)
-    held = ewm.moments(old, "v", AXIS, 7, {"_m1": F.col("v")})
-    state = ewm.final_state(held, AXIS, "v")
-    done = ewm.ewma(old, "v", AXIS, 7)
-    later = ewm.ewma(new_rows(new, done, ["user_id"], "ts"), "v", AXIS, 7, state=state)
-    return appended(done, later, ["user_id"], "ts").select("event_id", rounded("out").alias("out"))
-
-
-QUERIES["ewma_resumed"] = lambda spark, sf_dir: _resumed(events(spark, sf_dir))
-SQL["ewma_resumed"] = SQL["ewma"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import fills
 from tidemark.functions import windows as W
 from tidemark.functions.axis import Axis, where_valid
-from tidemark.operators import clocks, ewm
+from tidemark.operators import clocks, ewm, sequential
 from tidemark.sources.series import series, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,14 +122,15 @@ add(
 for name, agg in (("sum", "sum(v)"), ("mean", "avg(v)"), ("std", "stddev_samp(v)"), ("min", "min(v)"), ("max", "max(v)"), ("median", "quantile_cont(v, 0.5)")):
     add_column(f"expanding_{name}", lambda f=getattr(W, f"expanding_{name}"): f("v", AXIS), if_valid(f"{agg} OVER {VALID.format(UPTO)}"))
     add_column(f"rolling_{name}", lambda f=getattr(W, f"rolling_{name}"): f("v", AXIS, 10), if_valid(f"{agg} OVER {VALID.format(BACK.format(9))}", 10))
+add_frame("expanding_median", lambda e: sequential.expanding_median(e, "v", AXIS), if_valid(f"quantile_cont(v, 0.5) OVER {VALID.format(UPTO)}"))
 add_column("cumsum", lambda: W.cumsum("v", AXIS), if_valid(f"sum(v) OVER {VALID.format(UPTO)}"))
 add_column("expanding_rms", lambda: W.expanding_rms("v", AXIS), if_valid(f"sqrt(avg(v * v) OVER {VALID.format(UPTO)})"))
 add_column("rolling_rms", lambda: W.rolling_rms("v", AXIS, 10), if_valid(f"sqrt(avg(v * v) OVER {VALID.format(BACK.format(9))})", 10))
 for name, frame, n, f in (("expanding_skew", UPTO, 3, lambda: W.expanding_skew("v", AXIS)), ("rolling_skew", BACK.format(9), 10, lambda: W.rolling_skew("v", AXIS, 10))):
     add_column(name, f, if_valid(skew_sql(f"(count(v) OVER {VALID.format(frame)})", lambda k, frame=frame: f"(avg(pow(v, {k})) OVER {VALID.format(frame)})"), n))
 RANK = "CASE WHEN len(l) = 1 THEN 0.0 ELSE 2 * (len(list_filter(l, lambda x: x < v)) + (len(list_filter(l, lambda x: x = v)) - 1) / 2.0) / (len(l) - 1.0) - 1 END"
-for name, frame, n, f in (("expanding_rank", UPTO, 1, lambda: W.expanding_rank("v", AXIS)), ("rolling_rank", BACK.format(9), 10, lambda: W.rolling_rank("v", AXIS, 10))):
-    add_column(name, f, f"CASE WHEN v IS NOT NULL AND k >= {n} THEN {RANK} END", f"{E_SQL}, l AS (SELECT event_id, v, row_number() OVER {VALID.format('')} AS k, list(v) OVER {VALID.format(frame)} AS l FROM e)", "l")
+for name, frame, n, f in (("expanding_rank", UPTO, 1, lambda e: sequential.expanding_rank(e, "v", AXIS)), ("rolling_rank", BACK.format(9), 10, lambda e: e.withColumn("out", W.rolling_rank("v", AXIS, 10)))):
+    add_frame(name, f, f"CASE WHEN v IS NOT NULL AND k >= {n} THEN {RANK} END", f"{E_SQL}, l AS (SELECT event_id, v, row_number() OVER {VALID.format('')} AS k, list(v) OVER {VALID.format(frame)} AS l FROM e)", "l")
 add_column("rolling_quantile", lambda: W.rolling_quantile("v", AXIS, 10, 0.3), if_valid(f"quantile_cont(v, 0.3) OVER {VALID.format(BACK.format(9))}", 10))
 add_column("rolling_quantile_ramp", lambda: W.rolling_quantile("v", AXIS, 10, 0.75, 3), if_valid(f"quantile_cont(v, 0.75) OVER {VALID.format(BACK.format(9))}", 3))
 add_column("rolling_quantile_lower", lambda: W.rolling_quantile("v", AXIS, 10, 0.33, None, "lower"), "CASE WHEN v IS NOT NULL AND k >= 10 THEN list_sort(l)[CAST(floor(0.33 * (len(l) - 1)) AS BIGINT) + 1] END", f"{E_SQL}, l AS (SELECT event_id, v, row_number() OVER {VALID.format('')} AS k, list(v) OVER {VALID.format(BACK.format(9))} AS l FROM e)", "l")
@@ -211,4 +212,6 @@ add_frame(
     "ewmacd", lambda e: ewm.ewmacd(e, "v", AXIS, 2, 7), f"(o1.t1 / o1.t0 - o.t1 / o.t0) / {ewm.ou_factor(2, 7)!r}",
     E_SQL + MEAN_CTES + moments_sql(7), "o JOIN o1 USING (event_id)",
 )
-add("ou_factor", lambda e: e.limit(1).select(rounded(F.lit(ewm.ou_factor(2, 7))).alias("out")), f"SELECT {_r('sqrt(f * f / (1 - f * f) + s * s / (1 - s * s) - 2 * f * s / (1 - f * s))')} AS out FROM (SELECT 1 - 1 / 3.0 AS f, 1 - 1 / 8.0 AS s)")
+QUERIES["ou_factor"] = lambda spark, _: spark.createDataFrame([(f, s, ewm.ou_factor(f, s)) for f in range(2, 20) for s in range(f + 1, 40)], "fast int, slow int, out double").withColumn("out", rounded("out"))
+SQL["ou_factor"] = f"SELECT CAST(a AS INTEGER) AS fast, CAST(b AS INTEGER) AS slow, {_r('sqrt(f * f / (1 - f * f) + s * s / (1 - s * s) - 2 * f * s / (1 - f * s))')} AS out FROM (SELECT a, b, 1 - 1 / (1.0 + a) AS f, 1 - 1 / (1.0 + b) AS s FROM range(2, 20) x(a), range(3, 40) y(b) WHERE b > a)"
+add_frame("ewma_quarters", lambda e: ewm.ewma(e, "v", AXIS, 4, "q"), "t1 / t0", E_SQL.replace("FROM events)", ", year(ts) * 4 + quarter(ts) AS quarter FROM events)") + moments_sql(4, tick="quarter"), "o")

@@ -27,10 +27,10 @@ def long(df: DataFrame, time: str, names: list[str], series_col: str = "series",
 
 
 def full_panel(df: DataFrame, time: str, series_col: str, value: str, by: list[str] | None = None) -> DataFrame:
-    """Every series at every time that any series has (null where it has none): times x series, both small beside the rows."""
+    """Every series at every time that any series has, null where it has none: as many rows as that takes."""
     by = by or []
     times, names = df.select(*by, time).distinct(), df.select(*by, series_col).distinct()
-    grid = times.join(names, by) if by else times.crossJoin(F.broadcast(names))
+    grid = times.join(names, by) if by else times.crossJoin(names)
     return grid.join(df.select(*by, time, series_col, value), [*by, time, series_col], "left")
 
 
@@ -58,5 +58,35 @@ def appended(done: DataFrame, new: DataFrame, by: list[str], time: str) -> DataF
     return kept.unionByName(new)
 
 
-def axis_of(by: str | list[str], time: str | list[str]) -> Axis:
-    return Axis(by, time)
+def reindex_matrices(matrix: DataFrame, times: DataFrame, time: str, fill: float | None = None, value: str = "c") -> DataFrame:
+    """(time, i, j, value) at the given times: the newest whole matrix at or before each, its missing entries left missing;
+    or, with `fill`, that number where no matrix is of the very time. Matrices move whole, entries aren't mixed."""
+    wanted = times.select(time).distinct()
+    if fill is not None:
+        entries = matrix.select("i", "j").distinct().crossJoin(wanted)
+        return entries.join(matrix.select(time, "i", "j", F.coalesce(value, F.lit(float("nan"))).alias("_c")), [time, "i", "j"], "left").select(time, "i", "j", F.when(F.col("_c").isNull(), F.lit(float(fill))).otherwise(F.nullif(F.col("_c"), F.lit(float("nan")))).alias(value))
+    held = matrix.select(time).distinct().withColumn("_of", F.col(time)).withColumn("_all", F.lit(0))
+    placed = as_of(wanted.withColumn("_all", F.lit(0)), held, ["_all"], time, ["_of"]).where("_of is not null")  # one row a time
+    return placed.select(time, "_of").join(matrix.withColumnRenamed(time, "_of"), "_of").select(time, "i", "j", value)
+
+
+def resampled(df: DataFrame, by: list[str], time: str, value: str, width: str, volume: str | None = None) -> DataFrame:
+    """(by, time, open, high, low, close, volume): bars of the values of each `width` ("1 hour", "1 day", ...). Without a
+    volume column, the number of values."""
+    bucket = F.window(time, width)["start"]
+    return df.where(col(value).isNotNull()).groupBy(*by, bucket.alias(time)).agg(
+        F.min_by(value, time).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, time).alias("close"), (F.sum(volume) if volume else F.count(value)).alias("volume")
+    )
+
+
+def autocorrelated(spark: SparkSession, n_series: int, length: int, weights: list[float], seed: int = 0) -> DataFrame:
+    """(series, t, v): autoregressive series for tests: the last values times `weights`, and a normal shock of unit variance."""
+    from tidemark.operators.sequential import fold
+
+    rows = spark.range(n_series * length).select(F.floor(F.col("id") / length).alias("series"), (F.col("id") % length).alias("t"), F.randn(seed).alias("_shock"))
+
+    def step(state, shock):
+        x = shock + sum(a * b for a, b in zip(weights, state))
+        return [x, *state][: len(weights)], x
+
+    return fold(rows, Axis("series", "t"), step, list, ["_shock"], "v").drop("_shock")

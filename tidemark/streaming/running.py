@@ -1,8 +1,9 @@
 """Folds with kept state, for Structured Streaming.
 
 running() turns a step of tidemark.operators.sequential, or one of those below, into a streaming operator: the state of
-each series is what the fold ended with, so new rows never need the old ones. Rows of a batch are taken in time order;
-rows older than the newest that a series has seen are dropped, as a clock can't run back.
+each series is what the fold ended with, so new rows never need the old ones. Rows of a batch are taken in time order.
+Rows older than the newest that a series has seen come too late, as a clock can't run back: they change no state, and come
+out without a result (or, with late="drop", not at all).
 """
 
 from __future__ import annotations
@@ -44,21 +45,23 @@ def rolling_mean_step(n: int) -> tuple[Callable, Callable]:
     return step, tuple
 
 
-def running(df: DataFrame, by: str, time: str, value: str, step: Callable, start: Callable, out: str = "out") -> DataFrame:
+def running(df: DataFrame, by: str, time: str, value: str, step: Callable, start: Callable, out: str = "out", late: str = "null") -> DataFrame:
     """(by, time, value, out) of a stream, appended as rows come."""
     kinds = [df.schema[c].dataType.simpleString() for c in (by, time)]
 
     def run(key, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         state, newest = pickle.loads(kept.get[0]) if kept.exists else (start(), None)
         rows = pd.concat(parts).sort_values(time, kind="stable")
-        if newest is not None:
-            rows = rows[rows[time] > newest]
+        if newest is not None and late == "drop":
+            rows = rows[rows[time] >= newest]
         results = []
-        for x in rows[value]:
+        for t, x in zip(rows[time], rows[value]):
+            if newest is not None and t < newest:
+                results.append(None)
+                continue
             state, r = step(state, None if pd.isna(x) else float(x))
+            newest = t
             results.append(r)
-        if len(rows):
-            newest = rows[time].max()
         kept.update((pickle.dumps((state, newest)),))
         yield pd.DataFrame({by: key[0], time: rows[time], value: rows[value], out: pd.array(results, dtype="Float64")})
 
