@@ -237,7 +237,7 @@ def rms_combine(grid: DataFrame, time: str, name: str, value: str, weight: str,
     sums = sums.withColumn("wij", F.col("wa") * F.col("wa") - F.col("w2"))
     sums = sums.withColumn("point", (F.col("ws2") - F.col("w2")) / F.when(F.abs("wij") > 1e-12, F.col("wij")))
     sums = sums.withColumn("point", init2v("point", one, int(0.3 * n), 0.0))
-    x = ewma(sums, "point", one, n, out="rho").withColumn("rho", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho"))))
+    x = ewma(sums, "point", one, n, out="rho").withColumn("rho", F.when(F.col("rho").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("rho")))))
     x = x.withColumn("var", F.when(F.col("rho").isNotNull(), F.greatest(F.lit(0.0), F.col("w2") + F.col("rho") * F.col("wij")))).withColumn("vol", F.sqrt("var"))
     x = x.withColumn("leverage", F.col("wa") / F.nullif(F.col("vol"), F.lit(0.0)))
     if max_leverage > 0:

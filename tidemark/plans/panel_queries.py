@@ -130,8 +130,10 @@ add_rows(
     f"WITH {UPPER}, w AS (SELECT event_type AS s, date_trunc('hour', ts) AS t, sum(value) / 100 AS v FROM events GROUP BY ALL) SELECT c.t, {_r('sum(a.v * c * b.v)')} AS out FROM c JOIN w a ON a.t = c.t AND a.s = i JOIN w b ON b.t = c.t AND b.s = j GROUP BY c.t",
 )
 # Whole matrices: what SQL can say of them is said by sums over their entries, or by roots of the characteristic polynomial.
-FULL = f"""{UPPER}, f AS (SELECT t, i, j, c FROM c WHERE c IS NOT NULL UNION ALL SELECT t, j, i, c FROM c WHERE c IS NOT NULL
-    UNION ALL SELECT DISTINCT t, s, s, 1.0 FROM (SELECT t, unnest([i, j]) AS s FROM c WHERE c IS NOT NULL)),
+FULL = f"""{UPPER}, h AS (SELECT DISTINCT t, s FROM (SELECT t, unnest([i, j]) AS s FROM c WHERE c IS NOT NULL)),
+    u AS (SELECT a.t, a.s AS i, b.s AS j, coalesce(c, 0) AS c FROM h a JOIN h b ON a.t = b.t AND a.s < b.s LEFT JOIN c ON c.t = a.t AND c.i = a.s AND c.j = b.s),
+    f AS (SELECT t, i, j, c FROM u UNION ALL SELECT t, j, i, c FROM u
+    UNION ALL SELECT t, s, s, 1.0 FROM h),
     f2 AS (SELECT a.t, a.i, b.j, sum(a.c * b.c) AS c FROM f a JOIN f b ON a.t = b.t AND a.j = b.i GROUP BY ALL),
     s AS (SELECT t, p1, p2, p3, p4, p5, k FROM (SELECT t, sum(c) FILTER (i = j) AS p1, sum(c * c) AS p2, count(DISTINCT i) AS k FROM f GROUP BY t)
         JOIN (SELECT f.t, sum(f.c * f2.c) AS p3 FROM f JOIN f2 ON f2.t = f.t AND f2.i = f.i AND f2.j = f.j GROUP BY f.t) USING (t)
@@ -144,8 +146,23 @@ SLOPE = "CASE k WHEN 2 THEN 2 * x - e1 WHEN 3 THEN (3 * x - 2 * e1) * x + e2 WHE
 #: The least root by Newton's steps from below, which never pass it.
 LEAST_ROOT = FULL + f""", n AS (SELECT t, k, e1, e2, e3, e4, e5, CAST(-k AS DOUBLE) AS x, 0 AS step FROM e5
     UNION ALL SELECT t, k, e1, e2, e3, e4, e5, x - ({CHARACTERISTIC}) / ({SLOPE}), step + 1 FROM n WHERE step < 60 AND ({SLOPE}) <> 0)"""
-add_rows("psd_correlation", lambda d: matrices.psd_correlation(CORRELATIONS(d), "t", shrinkage=0.1), ["i", "j", "t", "c"], f"WITH {FULL} SELECT i, j, t, {_r('CASE WHEN i = j THEN 1.0 ELSE 0.9 * c END')} AS c FROM f")
-add_rows("clip_eigenvalues", lambda d: matrices.clipped(CORRELATIONS(d), "t", 1e-8), ["i", "j", "t", "c"], f"WITH {FULL} SELECT i, j, t, {_r('c')} AS c FROM f")
+add_rows("psd_correlation", lambda d: matrices.psd_correlation(CORRELATIONS(d), "t", shrinkage=0.1), ["i", "j", "t", "c"], None)
+add_rows("clip_eigenvalues", lambda d: matrices.clipped(CORRELATIONS(d), "t", 1e-8), ["i", "j", "t", "c"], None)
+
+
+def checked(matrix: DataFrame, least: float, trace: str) -> DataFrame:
+    """Whether a repaired matrix is symmetric, has no eigenvalue below `least` and the diagonal that it should have."""
+    twin = matrix.select("t", F.col("i").alias("j"), F.col("j").alias("i"), F.col("c").alias("twin"))
+    same = matrix.join(twin, ["t", "i", "j"]).groupBy("t").agg(F.max(F.abs(F.col("c") - F.col("twin"))).alias("off"), F.expr(trace).alias("diagonal"), F.countDistinct("i").alias("k"))
+    low = matrices.min_eigenvalues(matrix, "t")
+    return same.join(low, "t").select("t", "k", ((F.col("off") < 1e-9) & F.col("diagonal") & (F.col("out") > least - 1e-9)).alias("fine"))
+
+
+for name, make, least, trace in (
+    ("psd_correlation", lambda d: matrices.psd_correlation(CORRELATIONS(d), "t", shrinkage=0.1), 0.1, "max(abs(CASE WHEN i = j THEN c - 1 ELSE 0 END)) < 1e-9"),
+    ("clip_eigenvalues", lambda d: matrices.clipped(CORRELATIONS(d), "t", 1e-8), 1e-8, "sum(CASE WHEN i = j THEN c - 1 ELSE 0 END) > -1e-9"),
+):
+    add_rows(f"{name}_checks", lambda d, make=make, least=least, trace=trace: checked(make(d), least, trace), ["t", "k", "fine"], f"WITH {FULL} SELECT t, count(DISTINCT i) AS k, true AS fine FROM f GROUP BY t")
 add_rows("min_eigenvalues", lambda d: matrices.min_eigenvalues(CORRELATIONS(d), "t").withColumn("out", F.round("out", 4)), ["t", "out"], f"WITH RECURSIVE {LEAST_ROOT} SELECT t, round(round(x, 4){NEAR} AS out FROM n QUALIFY row_number() OVER (PARTITION BY t ORDER BY step DESC) = 1")
 
 
@@ -170,21 +187,16 @@ add_rows("riskparity", lambda d: matrices.riskparity(COVARIANCES(d), "t"), ["t",
 
 
 def contributions(d: DataFrame) -> DataFrame:
-    """Each asset's share of the risk of the weights, and their sum."""
-    c = COVARIANCES(d)
+    """Each asset's share of the risk of the weights, and their sum, for matrices that are positive semi-definite by
+    construction, so that every asset has a weight."""
+    c = pairs.ewmcorr_psd(d, "t", "s", "v", N, demean=False, shrinkage=0.1).where("c is not null")
     w = matrices.riskparity(c, "t").where("w is not null")
-    full = pairs.symmetric(c)
-    risk = full.join(w, ["t", "i"]).join(w.select("t", F.col("i").alias("j"), F.col("w").alias("wj")), ["t", "j"]).groupBy("t", "i").agg(F.sum(F.col("w") * F.col("c") * F.col("wj")).alias("part"), F.first("w").alias("w"))
+    risk = pairs.symmetric(c).join(w, ["t", "i"]).join(w.select("t", F.col("i").alias("j"), F.col("w").alias("wj")), ["t", "j"]).groupBy("t", "i").agg(F.sum(F.col("w") * F.col("c") * F.col("wj")).alias("part"), F.first("w").alias("w"))
     every = Window.partitionBy("t")
     return risk.select("t", "i", F.round(F.col("part") / F.sum("part").over(every), 5).alias("share"), F.round(F.sum("w").over(every), 6).alias("weights"))
 
 
-COV_SQL = f"c AS ({pair_sql(COV, 'l', '<=').replace('round(', '(').replace(NEAR, ')')})"
-add_rows("riskparity_contributions", contributions, ["t", "i", "share", "weights"], f"WITH {COV_SQL} SELECT t, i, round(round(1.0 / count(*) OVER (PARTITION BY t), 5){NEAR} AS share, {_r('1.0')} AS weights FROM c WHERE i = j AND c > 0")
-QUERIES["near_correlation_matrix"] = lambda spark, _: X.near_correlation_matrix(spark, 0.9, 20).select("i", "j", rounded("c").alias("c"))
-SQL["near_correlation_matrix"] = f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {_r('pow(0.9, abs(i - j))')} AS c FROM range(20) a(i), range(20) b(j)"
-QUERIES["beta_correlation_matrix"] = lambda spark, d: X.beta_correlation_matrix(table(spark, d, "nation").withColumn("b", 1 / (1 + F.col("n_nationkey"))), "n_nationkey", "b").select("i", "j", rounded("c").alias("c"))
-SQL["beta_correlation_matrix"] = f"SELECT a.n_nationkey AS i, b.n_nationkey AS j, {_r('CASE WHEN a.n_nationkey = b.n_nationkey THEN 1.0 ELSE 1.0 / ((1 + a.n_nationkey) * (1 + b.n_nationkey)) END')} AS c FROM nation a, nation b"
+add_rows("riskparity_contributions", contributions, ["t", "i", "share", "weights"], f"SELECT t, i, round(round(1.0 / count(*) OVER (PARTITION BY t), 5){NEAR} AS share, {_r('1.0')} AS weights FROM ({SQL['ewmcorr_psd']}) WHERE i = j AND c IS NOT NULL", grid)
 
 
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
