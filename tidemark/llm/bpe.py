@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from tidemark.llm.kernels import text_chunks
 from tidemark.llm.pretokens import boundaries, slices
 
 CACHE = 400_000
-GENERATION = 120_000
+GENERATION = 220_000
 LONG_TOKEN = 48  # bytes from which merges are kept in a heap
 
 
@@ -200,14 +199,16 @@ class Codec:
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.known: dict[bytes, tuple[int, ...]] = {}
-        self.older: dict[bytes, tuple[int, ...]] = {}
+        #: Ids as little-endian 32-bit integers: of each token, and of the pre-tokens met in this generation and the last.
+        self.code = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
-    def merge(self, token: bytes) -> tuple[int, ...]:
+    def merge(self, token: bytes) -> bytes:
         """Ids of one pre-token: the lowest-rank pair, the leftmost of equals, until none is left."""
         ranks = self.ranks
-        if (r := ranks.get(token)) is not None:
-            return (r,)
+        if (whole := self.code.get(token)) is not None:
+            return whole
         if len(token) >= LONG_TOKEN:
             return self._merge_long(token)
         parts = [token[i : i + 1] for i in range(len(token))]
@@ -220,9 +221,9 @@ class Codec:
                 pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 60)
             if i:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 60)
-        return tuple(ranks[p] for p in parts)
+        return b"".join([self.code[p] for p in parts])
 
-    def _merge_long(self, token: bytes) -> tuple[int, ...]:
+    def _merge_long(self, token: bytes) -> bytes:
         """The same with a heap and links, in n log n steps."""
         ranks, n = self.ranks, len(token)
         end = list(range(1, n + 1))  # where the part that starts here ends; 0: no part starts here
@@ -243,9 +244,9 @@ class Codec:
                 heapq.heappush(heap, (r, p, j))
         out, i = [], 0
         while i < n:
-            out.append(ranks[token[i : end[i]]])
+            out.append(self.code[token[i : end[i]]])
             i = end[i]
-        return tuple(out)
+        return b"".join(out)
 
     def encode(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and for each text the index of its first (one entry more at the end)."""
@@ -255,11 +256,12 @@ class Codec:
         new = distinct.difference(self.known)
         if len(new) + len(self.known) > GENERATION:  # of what was known before, only what is met again stays
             self.known, self.older, new = {}, self.known, distinct
+        older, known, merge = self.older.get, self.known, self.merge
         for t in new:
-            self.known[t] = self.older.get(t) or self.merge(t)
-        each = list(map(self.known.__getitem__, tokens))
-        ids = np.fromiter(chain.from_iterable(each), np.int64)
-        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+            known[t] = older(t) or merge(t)
+        each = list(map(known.__getitem__, tokens))
+        ids = np.frombuffer(b"".join(each), "<i4").astype(np.int64)
+        sums = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) >> 2)])
         return ids, sums[first]
 
     def decode(self, ids: np.ndarray, index: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
