@@ -248,7 +248,7 @@ def least_squares_by(df: DataFrame, by: list[str], columns: list[str], target: s
 
 def risk_parity(cov: np.ndarray, budget: np.ndarray | None = None, start: np.ndarray | None = None, rounds: int = 1000, tol: float = 1e-10) -> np.ndarray:
     """Weights whose contributions to risk are as `budget`, by cyclical coordinate descent, from `start` where it is given;
-    null (NaN) for assets without variance or budget."""
+    null (NaN) for assets without variance or budget, and for all of a matrix that gives a portfolio negative variance."""
     given = np.ones(len(cov)) if budget is None else np.nan_to_num(np.asarray(budget, float))
     out = np.full(len(cov), np.nan)
     ok = np.flatnonzero((np.nan_to_num(np.diag(cov)) > 0) & (given > 0))
@@ -263,7 +263,10 @@ def risk_parity(cov: np.ndarray, budget: np.ndarray | None = None, start: np.nda
     for _ in range(rounds):
         old = x.copy()
         for i in range(len(x)):
-            sigma = np.sqrt(x @ c @ x)
+            variance = x @ c @ x
+            if not variance >= 0:
+                return out
+            sigma = np.sqrt(variance)
             other = c[i] @ x - c[i, i] * x[i]
             x[i] = (-other + np.sqrt(other * other + 4 * c[i, i] * b[i] * sigma)) / (2 * c[i, i])
         if np.abs(x / x.sum() - old / old.sum()).max() < tol:
