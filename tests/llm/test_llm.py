@@ -655,3 +655,22 @@ def test_queries_against_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
     want = c.execute(queries.SQL[name]).df()[df.columns].values.tolist()
     assert sorted(map(tuple, want)) == sorted(tuple(r) for r in df.collect())
+
+
+def test_hot_keys_of_joins_with_own_sums(spark):
+    """A third of all rows under one key: the join with the key's sums is split, and a star is one component."""
+    values = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "20"}
+    old = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000, numPartitions=8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("u"), F.col("id").alias("v")).checkpoint()
+        joined = rows.join(graph.dealt_anew(rows.groupBy("u").agg(F.min("v").alias("m"))), "u")
+        joined.write.format("noop").mode("overwrite").save()
+        parts = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(parts) == 60_000 and max(parts) < 10_000
+        star = spark.range(1, 2000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert {(r["component"], r["count"]) for r in graph.components(star).groupBy("component").count().collect()} == {(0, 2000)}
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.folders import shared_folder
-from tidemark.llm.graph import BROADCAST_IDS, components, with_ids
+from tidemark.llm.graph import BROADCAST_IDS, components, dealt_anew, with_ids
 from tidemark.llm.kernels import U64, byte_words, gram_hashes, mix, slice_hashes, text_chunks
 
 SHINGLE = 5
@@ -111,7 +111,8 @@ def _runs(firsts: DataFrame, length: int, trees: int, depth: int) -> DataFrame:
     smallest id. A prefix that one document has goes before anything is sorted."""
     head = lambda t: F.xxhash64(t, F.substr("sequences", t * (VALUE * depth) + 1, F.lit(VALUE * length)))
     forest = firsts.where("sequences is not null").select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), head)).alias("head"))
-    return forest.join(forest.groupBy("head").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "head").select("head", "id", "n", "least")
+    sizes = forest.groupBy("head").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    return forest.join(dealt_anew(sizes), "head").select("head", "id", "n", "least")
 
 
 def _short_pairs(runs: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def _units(sets: DataFrame, groups: DataFrame, parts: int, block: int, block_byt
     """component, i, j, block, id, set: every set once for each block of its group, rows of one unit (i, j) together."""
     sizes = sets.select("id", F.length("set").alias("bytes")).join(groups, "id").groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = sizes.select("component", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("blocks"))
-    placed = groups.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    placed = groups.join(dealt_anew(blocks), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = placed.select("component", "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     units = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id").join(sets, "id")
     return units.select("component", "i", "j", "block", "id", "set").repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "id")
