@@ -5,8 +5,10 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -674,3 +676,37 @@ def test_hot_keys_of_joins_with_own_sums(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def shuffles(spark) -> tuple[int, set[int]]:
+    """How many there were so far, and those whose files are there."""
+    context = spark.sparkContext._jsc.sc()
+    folders = [f.getPath() for f in context.env().blockManager().diskBlockManager().localDirs()]
+    return context.newShuffleId(), {int(f.name.split("_")[1]) for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+
+
+def test_few_links_make_no_rounds(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 2000 + i) for i in range(60)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    began = shuffles(spark)[0]
+    few = {tuple(r) for r in graph.components(links).select("id", "component").collect()}
+    assert shuffles(spark)[0] - began < 6
+    assert few == {tuple(r) for r in graph.components(links, limit=0).select("id", "component").collect()}
+    assert {i for i, _ in few} == {i for e in edges for i in e if e[0] != e[1]}
+    assert graph.components(links.where("a > 10000")).collect() == []
+
+
+def test_release(spark):
+    """Shuffle files of tables that nothing holds go, though the session lives on."""
+    old = shuffles(spark)[1]
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().checkpoint()
+    made = shuffles(spark)[1] - old
+    spark.range(1000).groupBy("id").count().collect()  # threads hold their last task's
+    graph.release(spark)
+    for _ in range(100):  # Spark removes them in a thread of its own
+        if not made & shuffles(spark)[1]:
+            break
+        time.sleep(0.1)
+    assert made and not made & shuffles(spark)[1]
+    assert df.count() == 7

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.folders import shared_folder
-from tidemark.llm.graph import BROADCAST_IDS, components, dealt_anew, with_ids
+from tidemark.llm.graph import BROADCAST_IDS, components, dealt_anew, release, with_ids
 from tidemark.llm.kernels import U64, byte_words, gram_hashes, mix, slice_hashes, text_chunks
 
 SHINGLE = 5
@@ -307,7 +307,9 @@ def near_duplicates(
         pairs = (pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti")).checkpoint()
         ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         new = verified(pairs, with_ids(docs, ends, "id", "left_semi", broadcast_ids), shingle, threshold).checkpoint()
-        seen, few = (new_ if old is None else old.unionByName(new_) for old, new_ in ((seen, pairs), (few, new)))
+        # in as few tasks as one length has, however many there are
+        seen, few = (new_ if old is None else old.unionByName(new_).coalesce(parts) for old, new_ in ((seen, pairs), (few, new)))
+        release(documents.sparkSession)
         if length <= prefix_length(threshold, trees, depth, recall) or estimated_recall(few, length, trees) >= recall:
             break
     groups = components(runs.where((F.col("n") > all_pairs) & (F.col("id") != F.col("least"))).select(F.col("id").alias("a"), F.col("least").alias("b"))).checkpoint()
