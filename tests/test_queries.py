@@ -47,6 +47,24 @@ def test_query(spark, sf, duck, name):
         assert all(x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float)) and abs(x - y) <= 1.1e-6 * max(1, abs(x))) for x, y in zip(a, b)), (a, b)
 
 
+@pytest.mark.parametrize("name", ["buffer_resumed"])
+def test_resumed_where_states_turn_out_small(spark, sf, tmp_path, name):
+    """The join with the states is planned as a shuffle and becomes a broadcast as it runs, over rows of several tasks."""
+    folder, want = str(tmp_path), duckdb.connect()
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    rows.repartition(8).write.parquet(f"{folder}/events.parquet")
+    want.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        got = {r["event_id"]: r["out"] for r in P.QUERIES[name](spark, folder).select("event_id", "out").collect()}
+    finally:
+        for k in settings:
+            spark.conf.unset(f"spark.sql.{k}")
+    assert got == pytest.approx(dict(want.execute(f"SELECT event_id, out FROM ({P.SQL[name]})").fetchall()), abs=1.1e-6)
+
+
 def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=__file__.rsplit("/tests/", 1)[0])

@@ -303,6 +303,21 @@ def test_folds_go_on_from_state(spark):
     assert sequential.fold_state(df.limit(0), A, step, start, ["v", "band"]).count() == 0
 
 
+def test_folds_of_joined_rows(spark):
+    """A series stays in one task though its rows lie by their keys after a join, which becomes a broadcast as it runs."""
+    settings = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "10m", "adaptive.coalescePartitions.enabled": "false"}
+    rows = spark.range(0, 4000, 1, 8).select((F.col("id") % 20).alias("k"), F.floor(F.col("id") / 20).alias("pos"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        joined = rows.join(spark.range(20).select(F.col("id").alias("k"), F.lit(1.0).alias("v")), "k", "left")
+        got = sequential.fold(joined, A, lambda s, x: (s + x, s + x), lambda: 0.0, ["v"]).select("pos", "out").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(f"spark.sql.{k}")
+    assert len(got) == 4000 and all(out == pos + 1 for pos, out in got)
+
+
 def test_states_of_rows_without_values(spark):
     """New rows without any value, series that only one side has, and no rows at all."""
     old = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, None), (3, 0, 2.0)], "k int, pos long, v double")

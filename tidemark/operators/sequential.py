@@ -28,12 +28,15 @@ def _numbers(column: pa.Array) -> list:
 
 
 def _placed(df: DataFrame, axis: Axis, columns: list[str], state: DataFrame | None) -> DataFrame:
-    rows = df.select(*columns)
-    if state is None:
-        rows = rows.withColumn("_state", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(state.select(*axis.by, F.col("state").alias("_state")), list(axis.by), "left")
-    return rows.select(*columns, "_state").repartition(*axis.by).sortWithinPartitions(*axis.by, *axis.order)
+    """Each series in one task and in order, after a row with its state where it has one.
+
+    They are dealt by a hash of the keys: a deal by the keys themselves is left out where rows lie by them already, as after
+    a join, and adaptive execution may then spread a series over tasks (a join that becomes a broadcast, or is skewed)."""
+    rows = df.select(*columns).withColumn("_state", F.lit(None).cast("string"))
+    if state is not None:
+        keys = (F.col(c).cast(df.schema[c].dataType).alias(c) for c in axis.by)
+        rows = rows.unionByName(state.select(*keys, F.col("state").alias("_state")), allowMissingColumns=True)
+    return rows.repartition(F.xxhash64(*axis.by)).sortWithinPartitions(*axis.by, F.col("_state").isNull(), *axis.order)
 
 
 def fold(df: DataFrame, axis: Axis, step: Callable, start: Callable[[], object], inputs: list[str], out: str = "out", state: DataFrame | None = None) -> DataFrame:
@@ -50,9 +53,11 @@ def fold(df: DataFrame, axis: Axis, step: Callable, start: Callable[[], object],
             for key, saved, *row in zip(zip(*(batch.column(i).to_pylist() for i in keys)), batch.column(len(names)).to_pylist(), *(_numbers(batch.column(i)) for i in values)):
                 if key != now:
                     now, held = key, json.loads(saved) if saved is not None else start()
-                held, result = step(held, *row)
-                results.append(result)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(results, pa.float64())], [*names, out])
+                if saved is None:
+                    held, result = step(held, *row)
+                    results.append(result)
+            rows = batch.filter(batch.column(len(names)).is_null())
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), pa.array(results, pa.float64())], [*names, out])
 
     return _placed(df, axis, names, state).mapInArrow(run, schema)
 
@@ -72,15 +77,15 @@ def fold_state(df: DataFrame, axis: Axis, step: Callable, start: Callable[[], ob
                     if now is not None:
                         done.append((*now, json.dumps(held)))
                     now, held = key, json.loads(saved) if saved is not None else start()
-                held, _ = step(held, *row)
+                if saved is None:
+                    held, _ = step(held, *row)
             types = [batch.schema.field(at(c)).type for c in axis.by]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * len(names), [*types, pa.string()])], names)
             done = []
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, json.dumps(held)), [*types, pa.string()])], names)
 
-    out = _placed(df, axis, columns, state).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in axis.by) + ", state string")
-    return out if state is None else out.unionByName(state.select(*names).join(out, list(axis.by), "left_anti"))
+    return _placed(df, axis, columns, state).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in axis.by) + ", state string")
 
 
 # --- order statistics ---------------------------------------------------------------------------------------------------
