@@ -47,7 +47,7 @@ def test_query(spark, sf, duck, name):
         assert all(x == y or (isinstance(x, (int, float)) and isinstance(y, (int, float)) and abs(x - y) <= 1.1e-6 * max(1, abs(x))) for x, y in zip(a, b)), (a, b)
 
 
-@pytest.mark.parametrize("name", ["buffer_resumed"])
+@pytest.mark.parametrize("name", ["buffer_resumed", "zmooth_resumed"])
 def test_resumed_where_states_turn_out_small(spark, sf, tmp_path, name):
     """The join with the states is planned as a shuffle and becomes a broadcast as it runs, over rows of several tasks."""
     folder, want = str(tmp_path), duckdb.connect()
